@@ -9,14 +9,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.pii import digest, find_pii
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.quality_rules import judge
+
+    out = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*names)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op6_token_counts": op6_token_counts}
+    return {f.__name__: f for f in (op2_pii, op5_quality_rules, op6_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict:
