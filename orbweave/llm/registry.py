@@ -29,6 +29,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.ngram_join import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.packing import pack
 
@@ -36,7 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op5_quality_rules, op6_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op2_pii, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
 
 
 def oracle_sql() -> dict:
