@@ -15,6 +15,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.repeats import find_repeats
+
+    return find_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.quality_rules import judge
 
@@ -42,7 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
+    return {f.__name__: f for f in (op2_pii, op4_repeats, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
 
 
 def oracle_sql() -> dict:
