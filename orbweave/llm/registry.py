@@ -9,12 +9,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbweave.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.pii import digest, find_pii
 
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings."""
+    from orbweave.llm.chat_tree import format_chats, read_back
+
+    names = ["conv_id", "turn", "role", "text"]
+    extra = spark.createDataFrame(
+        [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns, tree = format_chats(_table(spark, sf_dir, "conversations").select(*names).union(extra))
+    return read_back(turns, tree)
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.repeats import find_repeats
 
@@ -48,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op4_repeats, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_chat_tree, op4_repeats, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
 
 
 def oracle_sql() -> dict:
