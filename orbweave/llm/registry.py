@@ -54,6 +54,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from orbweave.llm.quality_net import score, train
+    from orbweave.llm.toxicity import crc_mod
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = train(docs, _table(spark, sf_dir, "labels"), lambda key: crc_mod(key, 4) != 2)
+    out = score(docs, net, ["doc_id"])
+    return out.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbweave.llm.ngram_join import link_components
 
@@ -66,9 +83,33 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from orbweave.llm.toxicity import crc_mod, score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, sf_dir, "labels"), lambda key: crc_mod(key, 5) != 0)
+    out = score(docs, model, ["doc_id"])
+    return out.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+OPS = (
+    op1_decontaminate, op2_pii, op3_chat_tree, op4_repeats, op5_quality_rules,
+    op6_token_counts, op7_quality_net, op8_ngram_join, op9_packing, op10_toxicity,
+)
+
+ORACLE: dict[str, str] = {}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_chat_tree, op4_repeats, op5_quality_rules, op6_token_counts, op8_ngram_join, op9_packing)}
+    return {f.__name__: f for f in OPS}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
