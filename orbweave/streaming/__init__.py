@@ -1 +1 @@
-
+"""Structured Streaming: the graph queries need no streaming operator, so none is defined here."""
