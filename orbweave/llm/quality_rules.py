@@ -137,17 +137,16 @@ def cutoffs(rates: DataFrame, labels: DataFrame, stratum: str, epsilon: float =
     above = [
         F.sum(F.when(F.col(f"r_{rule}") > c, 1).otherwise(0)).alias(f"k_{rule}_{c}") for rule, grid in RULES.items() for c in grid
     ]
-    counts = held.groupBy(stratum).agg(F.count("*").alias("n"), *above)
-    strata = counts.agg(F.count("*").alias("strata"))
+    counts = stage(held.groupBy(stratum).agg(F.count("*").alias("n"), *above), "strata")
+    strata = max(counts.count(), 1)
     tests = [
         F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k_{rule}_{c}").alias("k"))
         for rule, grid in RULES.items()
         for c in grid
     ]
     rows = counts.select(stratum, "n", F.explode(F.array(*tests)).alias("t")).select(stratum, "n", "t.*")
-    rows = rows.join(F.broadcast(strata))
-    level = F.lit(delta) / (F.col("strata") * sum(len(g) for g in RULES.values()))
-    proven = rows.where(binomial_tail(F.col("k"), F.col("n"), epsilon / len(RULES)) <= level)
+    level = delta / (strata * sum(len(g) for g in RULES.values()))
+    proven = rows.where(binomial_tail(F.col("k"), F.col("n"), epsilon / len(RULES)) <= F.lit(level))
     chosen = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"c_{rule}") for rule in RULES]
     return proven.groupBy(stratum).agg(*chosen)
 
@@ -159,8 +158,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", epsilon: fl
     texts fail the base rule.  Repeated rows each give a row; other columns are ignored.
     """
     rates = stage(with_rates(measures(docs, ["doc_id", stratum])), "rates")
-    found = cutoffs(rates, labels, stratum, epsilon, delta)
+    # staged, so that its size is known and Spark broadcasts it only below its threshold
+    found = stage(cutoffs(rates, labels, stratum, epsilon, delta), "cutoffs")
     passed = F.lit(True)
     for rule in RULES:
         passed = passed & (F.col(f"c_{rule}").isNull() | (F.col(f"r_{rule}") <= F.col(f"c_{rule}")))
-    return rates.join(F.broadcast(found), stratum, "left").withColumn("kept", ~F.col("base_failed") & passed)
+    return rates.join(found, stratum, "left").withColumn("kept", ~F.col("base_failed") & passed)
