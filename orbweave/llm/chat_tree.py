@@ -86,40 +86,35 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
 
 
 def prefix_tree(turns: DataFrame) -> DataFrame:
-    """Nodes in emitted order: shard, start, end, node, parent, depth, position, segment, attends.
-
-    ``start`` and ``end`` are code points in the sequence of the shard.  Paths are sorted over the
-    cluster by their first nodes; a shard is one range of them, emitted depth first.  A tree that
-    ranges cut is continued in the next shard with the nodes there that the earlier one lacks, so
-    every node is emitted once; ``attends`` has (shard, start, end) of the ancestors, root first.
+    """Nodes in emitted order: shard, start, end, run, node, parent, depth, position, segment, intervals, attends.
+
+    ``start`` and ``end`` are code points in the sequence of the shard.  Conversations are ranked by
+    their paths over the cluster; each emits, in its rank, the nodes that no earlier one has, which is
+    the depth-first order.  The order of nodes is then (``run``, the rank of the emitting conversation;
+    depth), and a shard is one range of it.  ``intervals`` has the (shard, start, end) that a node
+    attends to besides itself, root first, neighbours merged: as many as branches and shard ends lie on
+    its path.  ``attends`` has the same place by place, one for each ancestor, so it grows with the
+    square of the depth; it is only computed where it is selected.
     """
     spark = turns.sparkSession
     n = shuffle_partitions(spark)
+    paths = turns.groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("path")
+    )
+    # one path of each last node: however many conversations are equal, one of them is ranked
+    paths = paths.groupBy(F.element_at("path", -1).alias("leaf")).agg(F.first("path").alias("path"))
+    ranked = paths.select("path").repartitionByRange(n, "path").sortWithinPartitions("path")
+    ranked = stage(ranked.select(F.monotonically_increasing_id().alias("run"), "path"), "ranked")
+    steps = ranked.select("run", F.posexplode("path").alias("depth", "node"))
     # one row a distinct node: a first turn that a third of all conversations share is merged by partial aggregation
     nodes = turns.groupBy("node").agg(
         F.first("parent").alias("parent"),
         F.first("depth").alias("depth"),
         F.first("position").alias("position"),
         F.first("segment").alias("segment"),
-        F.min("conv_id").alias("conv"),
-    )
-    nodes = stage(nodes, "nodes")
-    # the whole path of the node's first conversation is its sort key
-    paths = (
-        nodes.groupBy("conv")
-        .agg(F.max("depth").alias("deep"))
-        .join(turns.select(F.col("conv_id").alias("conv"), "depth", "node"), "conv")
-        .where("depth <= deep")
-        .groupBy("conv")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("path"))
-    )
-    sorted_nodes = (
-        nodes.join(paths, "conv")
-        .select("*", F.slice("path", 1, F.col("depth") + 1).alias("key"))
-        .drop("path", "conv")
-        .repartitionByRange(n, "key")
-        .sortWithinPartitions("key")
     )
+    nodes = stage(nodes.join(steps.groupBy("node").agg(F.min("run").alias("run")), "node"), "nodes")
+    names = ["run", "node", "parent", "depth", "position", "segment"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,7 +127,6 @@ def prefix_tree(turns: DataFrame) -> DataFrame:
                 starts.append(at)
                 at += k
             ends = [a + k for a, k in zip(starts, lens, strict=True)]
-            names = ["node", "parent", "depth", "position", "segment", "key"]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * len(lens), pa.int32()),
@@ -144,45 +138,86 @@ def prefix_tree(turns: DataFrame) -> DataFrame:
             )
 
     schema = (
-        "shard int, start long, end long, node binary, parent binary, depth int, position long, segment string, "
-        "key array<binary>"
+        "shard int, start long, end long, run long, node binary, parent binary, depth int, position long, segment string"
+    )
+    ordered = nodes.select(*names).repartitionByRange(n, "run", "depth").sortWithinPartitions("run", "depth")
+    placed = stage(ordered.mapInArrow(emit, schema), "tree")
+    return _with_attends(_with_intervals(placed, steps), ranked)
+
+
+def _with_intervals(placed: DataFrame, steps: DataFrame) -> DataFrame:
+    """``placed`` with ``intervals``, from what each path takes of each emitting run."""
+    spots = placed.select("node", F.col("run").alias("owner"), "shard", "start", "end")
+    emitting = placed.select("run").distinct()
+    taken = (
+        steps.join(emitting, "run", "left_semi")
+        .join(spots, "node")
+        .groupBy("run", "owner", "shard")
+        .agg(F.min("depth").alias("low"), F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+    lists = taken.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("low", "owner", "shard", "start", "end"))).alias("taken"))
+    own = lambda x: (x["owner"] == F.col("run")) & (x["shard"] == F.col("shard"))
+    spot = lambda x: F.struct(
+        x["shard"].alias("shard"), x["start"].alias("start"), F.when(own(x), F.col("start")).otherwise(x["end"]).alias("end")
     )
-    placed = stage(sorted_nodes.select("node", "parent", "depth", "position", "segment", "key").mapInArrow(emit, schema), "tree")
+    above = F.transform(F.filter("taken", lambda x: x["low"] < F.col("depth")), spot)
+    none = F.array().cast("array<struct<shard:int,start:long,end:long>>")
+
+    def merge(done, x):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["shard"].alias("shard"), last["start"].alias("start"), x["end"].alias("end"))
+        follows = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["shard"] == x["shard"]) & (
+            F.try_element_at(done, F.lit(-1))["end"] == x["start"]
+        )
+        return F.when(follows, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(x))
+        )
+
+    return placed.join(lists, "run").withColumn("intervals", F.aggregate(above, none, merge)).drop("taken")
+
+
+def _with_attends(placed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``placed`` with ``attends``, the place of every single ancestor."""
     spots = placed.select(F.col("node").alias("up"), F.struct("shard", "start", "end").alias("spot"))
     above = (
         placed.where("depth > 0")
-        .select("node", F.posexplode(F.slice("key", F.lit(1), F.col("depth"))).alias("level", "up"))
+        .select("run", "node", "depth")
+        .join(ranked, "run")
+        .select("node", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("level", "up"))
         .join(spots, "up")
         .groupBy("node")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "spot"))), lambda x: x["spot"]).alias("attends"))
     )
     none = F.array().cast("array<struct<shard:int,start:long,end:long>>")
-    return placed.drop("key").join(above, "node", "left").withColumn("attends", F.coalesce("attends", none))
+    return placed.join(above, "node", "left").withColumn("attends", F.coalesce("attends", none))
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGEST = (
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+    "attended_chars long"
+)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Formatted turns sorted by conversation and depth -> digests; holds one conversation's hashes only."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attended_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     now, state = object(), None
 
     def row():
-        return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+        return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
 
     def packed(rows):
-        cols = list(zip(*rows, strict=True)) or [()] * 6
+        cols = list(zip(*rows, strict=True)) or [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     for batch in batches:
         done = []
-        for conv, segment in zip(batch.column("conv_id").to_pylist(), batch.column("segment").to_pylist(), strict=True):
+        for conv, segment, attended in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "attended")), strict=True):
             if state is None or conv != now:
                 if state is not None:
                     done.append(row())
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
             role, text, _, _ = parse_turn(segment)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
@@ -190,6 +225,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[2] += len(text)
                 state[3].update(text.encode())
             state[4] += len(segment)
+            state[5] = attended
         yield packed(done)
     if state is not None:
         yield packed([row()])
@@ -199,10 +235,13 @@ def read_back(turns: DataFrame, tree: DataFrame) -> DataFrame:
     """Digests of every conversation, from the tree's emitted text along its path.
 
     The loss mask covers the texts of assistant turns, which are taken back from their escaped form.
+    ``attended_chars`` is what the last turn attends to before itself.
     """
     n = shuffle_partitions(turns.sparkSession)
     path = turns.select("conv_id", "depth", "node")
-    found = path.join(tree.select("node", "segment"), "node").select("conv_id", "depth", "segment")
+    attended = F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    nodes = tree.select("node", "segment", attended.alias("attended"))
+    found = path.join(nodes, "node").select("conv_id", "depth", "segment", "attended")
     ordered = found.repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth")
     return ordered.mapInArrow(_read_back, DIGEST)
 

@@ -167,6 +167,21 @@ def test_chats(spark):
     assert chat_tree.read_back(t, n).count() == 0
 
 
+def test_chat_intervals(spark):
+    data = [(c, k, "user", f"t{k}" if k <= c else f"own {c} {k}") for c in range(12) for k in range(c + 2)]
+    data += [(99, k, "assistant", f"long {k}") for k in range(200)] + [(None, 0, None, None)]
+    frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)
+    turns, tree = chat_tree.format_chats(frame)
+    for r in tree.collect():
+        places = {(a.shard, k) for a in r.attends for k in range(a.start, a.end)}
+        merged = [(a.shard, k) for a in r.intervals for k in range(a.start, a.end)]
+        assert len(merged) == len(set(merged)) == r.position and set(merged) == places
+        assert all(a.shard != b.shard or a.end != b.start for a, b in zip(r.intervals, r.intervals[1:]))
+    assert {(r.conv_id, r.n_turns) for r in chat_tree.read_back(turns, tree).collect()} >= {(99, 200), (None, 1)}
+    for r in chat_tree.read_back(turns, tree).where("conv_id = 99").collect():
+        assert r.formatted_chars - r.attended_chars == len(chat_tree.format_turn("assistant", "long 199"))
+
+
 def test_escape_round_trip():
     rng = random.Random(4)
     bits = ["<", "[", "\\", "/s>", "s>", "INST]", "/INST]", "|end|>", "|turn|>", "x", "\n"]
