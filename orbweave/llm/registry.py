@@ -104,12 +104,12 @@ OPS = (
     op6_token_counts, op7_quality_net, op8_ngram_join, op9_packing, op10_toxicity,
 )
 
-ORACLE: dict[str, str] = {}
-
 
 def queries() -> dict:
     return {f.__name__: f for f in OPS}
 
 
 def oracle_sql() -> dict:
+    from orbweave.llm.sql import ORACLE
+
     return dict(ORACLE)
