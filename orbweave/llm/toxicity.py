@@ -22,8 +22,9 @@ from orbweave.llm.textbytes import chunks, mix, text_column
 
 WINDOW, STRIDE = 64, 48
 BASE_BYTES, SIDE_BYTES, COVER = 8000, 2000, 2
-#: The fit's sample: so many labelled rows of each class at most, and bytes from the start of each.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES = 2000, 4000, 24_000
+#: The fit's sample: so many labelled rows of each class at most, and of longer texts SAMPLE_PARTS
+#: pieces spread evenly from the first byte to the last, TRAIN_BYTES together.
+TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES, SAMPLE_PARTS = 2000, 4000, 24_000, 12
 #: Lengths of segments, the least documents that have one, and how much more often toxic ones must.
 GRAMS, MIN_DOCS, CONTRAST = (5, 6, 7, 8), 4, 12.0
 THRESHOLDS = (1, 2, 3, 4, 6)
@@ -191,13 +192,23 @@ def _without_copies(pairs: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     return out
 
 
+def sample_bytes(text: str | None) -> bytes:
+    """The bytes of ``text`` that a fit sees: all, or evenly spread pieces if there are over TRAIN_BYTES."""
+    raw = (text or "").encode()
+    if len(raw) <= TRAIN_BYTES:
+        return raw
+    size = TRAIN_BYTES // SAMPLE_PARTS
+    starts = [k * (len(raw) - size) // (SAMPLE_PARTS - 1) for k in range(SAMPLE_PARTS)]
+    return b" ".join(raw[a : a + size] for a in starts)
+
+
 def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model | None:
     """A model from labelled texts; None without both classes.
 
     ``share`` is the share of toxic ones among all labelled texts, if the given ones aren't drawn evenly.
     """
     pairs = _without_copies(
-        sorted({(b" " + (t or "").encode()[:TRAIN_BYTES], int(y)) for t, y in zip(texts, toxic, strict=True)})
+        sorted({(b" " + sample_bytes(t), int(y)) for t, y in zip(texts, toxic, strict=True)})
     )
     if len({y for _, y in pairs}) < 2:
         return None
