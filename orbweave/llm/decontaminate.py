@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders; windows of the resulting template tokens are
 hash-joined between benchmark items and documents.  For documents that share enough windows of an
 item, the values behind the placeholders are compared: equal values are a verbatim leak, values that
-differ by a consistent renaming are a re-parameterised question, anything else is chance.
+differ by a consistent renaming are a re-parameterised question, anything else is chance.  Items that
+such windows can't find (short ones, and those made of numbers or names) are searched word for word.
 """
 
 from __future__ import annotations
@@ -48,6 +49,11 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
+#: First two bytes (UTF-8) of characters of scripts without spaces, each a token of its own: Thai, Lao, Burmese, Khmer,
+#: U+3000 to U+9FFF (Chinese, Japanese), their compatibility and full-width forms, and the planes from U+20000 on.
+_ALONE = np.zeros(1 << 16, bool)
+for _a, _b in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBF), (0xF0A0, 0xF0BF)):
+    _ALONE[_a : _b + 1] = True
 
 
 def _unit_hashes() -> np.ndarray:
@@ -60,7 +66,7 @@ UNIT_HASHES = _unit_hashes()
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """(code, is slot, start, end, row) of all tokens: runs of letters and digits.
+    """(code, literal, is slot, row) of all tokens: runs of letters and digits, or single characters (``_ALONE``).
 
     A run with a digit is a number; a capitalised run that doesn't begin a sentence is a name, as
     are neighbours of it that are; a unit counts only behind a number.
@@ -68,6 +74,10 @@ def template(data: np.ndarray, offsets: np.ndarray):
     ink = _INSIDE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    lead = lead[_ALONE[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    edge[lead] = True
+    edge[np.minimum(lead + np.where(data[lead] >= 0xF0, 4, 3), len(data))] = True
     before = np.r_[False, ink[:-1]] if len(ink) else ink
     after = np.r_[ink[1:], False] if len(ink) else ink
     start = np.flatnonzero(ink & (~before | edge[:-1]))
@@ -75,18 +85,18 @@ def template(data: np.ndarray, offsets: np.ndarray):
     row = np.searchsorted(offsets, start, "right") - 1
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(bool), none, none, none
-    code = word_hashes(prefix_sums(data, lower=True), start, end)
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none
+    literal = word_hashes(prefix_sums(data, lower=True), start, end)
     digits = np.r_[0, np.cumsum(_ROLE[data] == 1)]
     number = digits[end] > digits[start]
     stops = np.r_[0, np.cumsum(_STOP[data])]
     begins = np.r_[True, (stops[start[1:]] > stops[end[:-1]]) | (row[1:] != row[:-1])]
     name = (_ROLE[data[start]] == 2) & ~number & ~begins
     behind = np.r_[False, number[:-1] & (row[1:] == row[:-1])]
-    at = np.minimum(np.searchsorted(UNIT_HASHES, code), len(UNIT_HASHES) - 1)
-    unit = behind & (UNIT_HASHES[at] == code) & ~number
-    code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, code)))
-    return code, number | name | unit, start, end, row
+    at = np.minimum(np.searchsorted(UNIT_HASHES, literal), len(UNIT_HASHES) - 1)
+    unit = behind & (UNIT_HASHES[at] == literal) & ~number
+    code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, literal)))
+    return code, literal, number | name | unit, row
 
 
 def windows(code: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,32 +109,50 @@ def windows(code: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray,
     return mix(acc[first]), first
 
 
+def exact_windows(literal: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of literal tokens; the hashes differ from those of templates and of other widths."""
+    h, first = windows(literal, row, width)
+    return mix(h ^ np.uint64(width * 0xA5A5A5A5A5A5A5)), first
+
+
+def usable(slot: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Which windows say something: those with placeholders alone, or nearly, don't."""
+    fixed = np.r_[0, np.cumsum(~slot)]
+    return fixed[first + width] - fixed[first] >= width // 2 if len(first) else np.zeros(0, bool)
+
+
 def _item_windows(width: int):
-    """Distinct windows of each item; an item shorter than a window counts as one of its own length."""
+    """(item_id, hash, n_windows, exact) of distinct windows of each item; ``exact`` is 0 for template windows.
+
+    An item with at most MIN_WINDOWS usable template windows (a role that differs at its first token could cost them
+    all) has windows of literal tokens too, whose width is ``exact``; an item shorter than a window counts as one of
+    its own length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
             data, offsets = text_column(batch)
-            code, slot, _, _, row = template(data, offsets)
-            h, first = windows(code, row, width)
-            # a window of placeholders alone says nothing
-            fixed = np.r_[0, np.cumsum(~slot)]
-            ok = fixed[first + width] - fixed[first] >= width // 2 if len(first) else np.zeros(0, bool)
-            h, first = h[ok], first[ok]
+            code, literal, slot, row = template(data, offsets)
+            tokens = np.searchsorted(row, np.arange(len(ids) + 1))
             for i, item in enumerate(ids):
-                own = np.unique(h[row[first] == i])
-                out += [(item, int(x), len(own)) for x in own.view(np.int64)]
+                own = slice(tokens[i], tokens[i + 1])
+                h, first = windows(code[own], row[own], width)
+                found = [(np.unique(h[usable(slot[own], first, width)]), 0)]
+                short = min(width, int(tokens[i + 1] - tokens[i]))
+                if short and len(found[0][0]) <= MIN_WINDOWS:
+                    found.append((np.unique(exact_windows(literal[own], row[own], short)[0]), short))
+                out += [(item, int(x), len(hashes), exact) for hashes, exact in found for x in hashes.view(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["item_id", "hash", "n_windows"]
+                [pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["item_id", "hash", "n_windows", "exact"]
             )
 
     return run
 
 
-def _document_windows(width: int, known):
-    """Windows of the documents, those of ``known`` only if given: (doc_id, uid, hashes)."""
+def _document_windows(width: int, exact: list[int], known):
+    """Template windows and literal ones of widths ``exact``, those of ``known`` only if given: (doc_id, key, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +161,20 @@ def _document_windows(width: int, known):
             out: tuple[list, list, list] = ([], [], [])
             for a, b in chunks(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                code, _, _, _, row = template(part, off)
-                h, first = windows(code, row, width)
-                if known is not None:
-                    table = known.value
-                    at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-                    ok = table[at] == h if len(table) else np.zeros(len(h), bool)
-                    h, first = h[ok], first[ok]
-                r = row[first]
+                code, literal, _, row = template(part, off)
+                kept = []
+                for w in [0, *exact]:
+                    h, first = exact_windows(literal, row, w) if w else windows(code, row, width)
+                    if known is not None:
+                        table = known.value
+                        at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+                        ok = table[at] == h if len(table) else np.zeros(len(h), bool)
+                        h, first = h[ok], first[ok]
+                    kept.append((h, row[first]))
+                h, r = (np.concatenate(x) for x in zip(*kept, strict=True))
+                if exact:
+                    order = np.argsort(r, kind="stable")
+                    h, r = h[order], r[order]
                 cut = np.searchsorted(r, np.arange(b - a + 1))
                 for i in np.flatnonzero(np.diff(cut)):
                     out[0].append(ids[a + i])
@@ -165,10 +199,9 @@ def slot_verdict(item: str, text: str, width: int = WINDOW) -> str:
     views = []
     for x in (item, text):
         raw = np.frombuffer((x or "").encode(), np.uint8)
-        code, slot, start, end, row = template(raw, np.array([0, len(raw)]))
-        h, first = windows(code, row, width)
-        views.append((raw.tobytes(), slot, start, end, h, first))
-    (a_raw, a_slot, a_start, a_end, a_h, a_first), (b_raw, _, b_start, b_end, b_h, b_first) = views
+        code, literal, slot, row = template(raw, np.array([0, len(raw)]))
+        views.append((literal.tolist(), slot, *windows(code, row, width)))
+    (a_literal, a_slot, a_h, a_first), (b_literal, _, b_h, b_first) = views
     places: dict[int, list[int]] = {}
     for h, k in zip(b_h.tolist(), b_first.tolist(), strict=True):
         places.setdefault(h, []).append(k)
@@ -179,15 +212,14 @@ def slot_verdict(item: str, text: str, width: int = WINDOW) -> str:
             votes[p - k] = votes.get(p - k, 0) + 1
     verdicts = set()
     for shift in sorted(votes, key=votes.get, reverse=True)[:16]:
-        forth: dict[bytes, bytes] = {}
-        back: dict[bytes, bytes] = {}
+        forth: dict[int, int] = {}
+        back: dict[int, int] = {}
         same, fits = True, True
         covered = {k + j for h, k in zip(a_h.tolist(), a_first.tolist(), strict=True) if k + shift in places.get(h, ()) for j in range(width)}
         for k in sorted(covered):
             if not a_slot[k]:
                 continue
-            x = a_raw[a_start[k] : a_end[k]].lower()
-            y = b_raw[b_start[k + shift] : b_end[k + shift]].lower()
+            x, y = a_literal[k], b_literal[k + shift]
             same &= x == y
             fits &= forth.setdefault(x, y) == y and back.setdefault(y, x) == x
         verdicts.add("verbatim" if same else "renamed" if fits else "inconsistent")
@@ -205,12 +237,13 @@ def contaminated(
 
     A pair counts if the document has at least ``cover_percent`` of the item's distinct template
     windows (and MIN_WINDOWS, or all of a shorter item's) and its slots are verbatim or renamed
-    consistently.  Items with fewer than ``width`` tokens have no windows.  Null and empty texts
-    match nothing; rows that repeat count once; other columns are ignored.
+    consistently, or, for items with at most MIN_WINDOWS such windows, as many of the item's
+    windows of literal tokens, which is verbatim (``n_shared`` and ``n_windows`` then count these).
+    Items with fewer than ``width`` tokens are one literal window.  Null and empty texts match nothing; rows that repeat count once; other columns are ignored.
     """
     spark = docs.sparkSession
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stage(b.mapInArrow(_item_windows(width), "item_id long, hash long, n_windows long").distinct(), "items")
+    items = stage(b.mapInArrow(_item_windows(width), "item_id long, hash long, n_windows long, exact long").distinct(), "items")
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -220,18 +253,26 @@ def contaminated(
     if distinct.count() <= broadcast_windows:
         table = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
         known = spark.sparkContext.broadcast(table)
-    seen = d.mapInArrow(_document_windows(width, known), "doc_id long, key long, hashes array<long>")
+    exact = sorted(r[0] for r in items.where("exact > 0").select("exact").distinct().collect())
+    seen = d.mapInArrow(_document_windows(width, exact, known), "doc_id long, key long, hashes array<long>")
     seen = seen.select("doc_id", "key", F.explode("hashes").alias("hash")).distinct() if known is None else seen.distinct().select(
         "doc_id", "key", F.explode("hashes").alias("hash")
     )
     shared = seen.join(items, "hash").groupBy("doc_id", "key", "item_id").agg(
-        F.count("*").alias("n_shared"), F.max("n_windows").alias("n_windows")
-    )
-    enough = shared.where(
-        (F.col("n_shared") * 100 >= F.col("n_windows") * cover_percent)
-        & (F.col("n_shared") >= F.least(F.lit(MIN_WINDOWS), F.col("n_windows")))
-    )
+        *(f(F.when(k, F.col(c))).alias(n + x) for x, k in (("", F.col("exact") == 0), ("_exact", F.col("exact") > 0)) for f, c, n in ((F.count, "hash", "n_shared"), (F.max, "n_windows", "n_windows")))
+    )
+
+    def covers(n: str, of: str):
+        return F.coalesce((F.col(n) * 100 >= F.col(of) * cover_percent) & (F.col(n) >= F.least(F.lit(MIN_WINDOWS), F.col(of))), F.lit(False))
+
+    literal = covers("n_shared_exact", "n_windows_exact")
+    enough = shared.where(literal | covers("n_shared", "n_windows")).select(
+        "doc_id", "key", "item_id", literal.alias("literal"),
+        *(F.when(literal, F.col(f"{c}_exact")).otherwise(F.col(c)).alias(c) for c in ("n_shared", "n_windows")),
+    )
     enough = stage(enough, "enough")
+    found = enough.where("literal").select("doc_id", "item_id", "n_shared", "n_windows", F.lit("verbatim").alias("verdict"))
+    enough = enough.where("NOT literal")
     texts = d.join(enough.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     pairs = enough.join(texts, "key").join(b.withColumnRenamed("text", "item_text").dropDuplicates(["item_id"]), "item_id")
 
@@ -249,4 +290,4 @@ def contaminated(
     out = pairs.select("doc_id", "item_id", "n_shared", "n_windows", "item_text", "text").mapInArrow(
         decide, "doc_id long, item_id long, n_shared long, n_windows long, verdict string"
     )
-    return out.where("verdict <> 'inconsistent'").distinct()
+    return out.where("verdict <> 'inconsistent'").union(found).distinct()

@@ -324,6 +324,27 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(frame, bench.where("false")).count() == 0
 
 
+def test_decontaminate_exact(spark):
+    """A verbatim copy of an item that templates can't find: short, of numbers, of names, without spaces, or of one window."""
+    items = [
+        "Name the largest moon",
+        "Sort 12, 7, 3, 44, 9, 21, 6, 18 and 2",
+        "The Rise And Fall Of The Old House Of Marble",
+        "小明有三个苹果又买了五个苹果请问他现在一共有多少个苹果",
+        "東京の人口は",
+        "What is the tallest hill in all england",
+    ]
+    bench = spark.createDataFrame([*enumerate(items), (90, "!?"), (91, "")], "item_id long, text string")
+    rows = [(i, f"he then asked {t} once more, and so on") for i, t in enumerate(items)]
+    rows += [(6, f"前文{items[3]}后文"), (7, "Sort 13, 7, 4, 45, 9, 22, 6, 19 and 3"), (8, "Name the largest of all the moon"), (9, "东京人口"), (10, items[0].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        got = {tuple(r) for r in decontaminate.contaminated(docs, bench, broadcast_windows=limit).select("doc_id", "item_id", "verdict").collect()}
+        assert got == {(i, i, "verbatim") for i in range(6)} | {(6, 3, "verbatim"), (10, 0, "verbatim")}
+    both = decontaminate.contaminated(spark.createDataFrame([(1, f"So. {items[5]}?")], "doc_id long, text string"), bench)
+    assert both.count() == 1
+
+
 def labelled():
     rng = random.Random(8)
     vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(200)]
