@@ -194,36 +194,72 @@ def _document_windows(width: int, exact: list[int], known):
 
 
 
-def slot_verdict(item: str, text: str, width: int = WINDOW) -> str:
-    """verbatim, renamed or inconsistent: do the values behind the placeholders of shared windows agree?"""
+def _renames(x: np.ndarray, y: np.ndarray, forth: dict[int, int], back: dict[int, int]) -> bool:
+    """Whether x -> y fits a one-to-one renaming that has ``forth`` and ``back`` already; if so, they take it up."""
+    new, old = dict(zip(x.tolist(), y.tolist(), strict=True)), dict(zip(y.tolist(), x.tolist(), strict=True))
+    pairs = list(zip(x.tolist(), y.tolist(), strict=True))
+    if not all(forth.get(p, q) == q == new[p] and back.get(q, p) == p == old[q] for p, q in pairs):
+        return False
+    forth.update(new)
+    back.update(old)
+    return True
+
+
+def slot_verdict(item: str, text: str, width: int = WINDOW, cover_percent: int = COVER_PERCENT) -> str:
+    """verbatim, renamed or inconsistent: do the values behind the placeholders of shared windows agree?
+
+    Every alignment of the two counts, as judged over all its shared windows: the pair is verbatim if alignments with
+    equal values have enough of the item's windows (``cover_percent`` and MIN_WINDOWS) between them, and renamed if one
+    alignment has enough and a consistent renaming, or several next to each other (a copy with words put in or left
+    out) have so together.  Alignments with fewer windows decide nothing.
+    """
     views = []
     for x in (item, text):
         raw = np.frombuffer((x or "").encode(), np.uint8)
         code, literal, slot, row = template(raw, np.array([0, len(raw)]))
-        views.append((literal.tolist(), slot, *windows(code, row, width)))
-    (a_literal, a_slot, a_h, a_first), (b_literal, _, b_h, b_first) = views
-    places: dict[int, list[int]] = {}
-    for h, k in zip(b_h.tolist(), b_first.tolist(), strict=True):
-        places.setdefault(h, []).append(k)
-    # the passage of the text that lines up with most windows of the item
-    votes: dict[int, int] = {}
-    for h, k in zip(a_h.tolist(), a_first.tolist(), strict=True):
-        for p in places.get(h, ()):
-            votes[p - k] = votes.get(p - k, 0) + 1
-    verdicts = set()
-    for shift in sorted(votes, key=votes.get, reverse=True)[:16]:
+        views.append((literal, slot, *windows(code, row, width)))
+    (a_literal, a_slot, a_h, a_first), (b_literal, _, b_h, _) = views
+    n, m = len(a_h), len(b_h)
+    at = a_first[usable(a_slot, a_first, width)]
+    kinds, kind = np.unique(a_h[at], return_inverse=True)
+    need = max(-(-len(kinds) * cover_percent // 100), min(MIN_WINDOWS, len(kinds)), 1)
+    order = np.argsort(b_h, kind="stable")
+    low, high = (np.searchsorted(b_h[order], a_h[at], side) for side in ("left", "right"))
+    votes = np.zeros(n + m, np.int64)
+    for k, i, j in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+        votes[order[i:j] - k + n] += 1
+    equal = np.zeros(len(kinds), bool)
+    fitting: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+    renamed = False
+    for shift in (np.flatnonzero(votes) - n).tolist():
+        k = np.arange(max(0, -shift), min(n, m - shift))
+        k = k[a_h[k] == b_h[k + shift]]
+        slots = np.unique((k[:, None] + np.arange(width)).ravel())
+        slots = slots[a_slot[slots]]
+        x, y = a_literal[slots], b_literal[slots + shift]
+        has = np.unique(kind[np.isin(at, k)])
+        if (x == y).all():
+            equal[has] = True
+            if equal.sum() >= need:
+                return "verbatim"
+        elif renamed or not _renames(x, y, {}, {}):
+            continue
+        elif len(has) >= need:
+            renamed = True
+        fitting.append((shift, len(has), has, x, y))
+    if renamed:
+        return "renamed"
+    begins = [0, *(i for i in range(1, len(fitting)) if fitting[i][0] - fitting[i - 1][0] >= len(a_literal)), len(fitting)]
+    for i, j in zip(begins, begins[1:], strict=False):
         forth: dict[int, int] = {}
         back: dict[int, int] = {}
-        same, fits = True, True
-        covered = {k + j for h, k in zip(a_h.tolist(), a_first.tolist(), strict=True) if k + shift in places.get(h, ()) for j in range(width)}
-        for k in sorted(covered):
-            if not a_slot[k]:
-                continue
-            x, y = a_literal[k], b_literal[k + shift]
-            same &= x == y
-            fits &= forth.setdefault(x, y) == y and back.setdefault(y, x) == x
-        verdicts.add("verbatim" if same else "renamed" if fits else "inconsistent")
-    return min(verdicts, key=["verbatim", "renamed", "inconsistent"].index) if verdicts else "inconsistent"
+        have = np.zeros(len(kinds), bool)
+        for _, _, has, x, y in sorted(fitting[i:j], key=lambda f: -f[1]):
+            if _renames(x, y, forth, back):
+                have[has] = True
+        if have.sum() >= need:
+            return "renamed"
+    return "inconsistent"
 
 
 def contaminated(
@@ -279,7 +315,7 @@ def contaminated(
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                slot_verdict(x, y, width)
+                slot_verdict(x, y, width, cover_percent)
                 for x, y in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(

@@ -345,6 +345,24 @@ def test_decontaminate_exact(spark):
     assert both.count() == 1
 
 
+def test_slot_verdict_alignments():
+    """All alignments count, and those with few windows decide nothing."""
+    item = "A farmer sells 12 kg of apples to Maria for 30 dollars and then buys 5 kg of pears from Maria at noon"
+    again = item.replace("12", "77").replace("30", "41").replace("Maria", "Jonas").replace("5 kg", "6 kg")
+    broken = [item.replace("to Maria", f"to {x}") for x in "Ada Bob Cleo Dan Eve Finn Gus Hal Ida Jan Kim Lee Mia Ned Oda Pia Quin Ray".split()]
+    verdict = decontaminate.slot_verdict
+    assert verdict(item, ". ".join(broken)) == "inconsistent"
+    assert verdict(item, ". ".join([*broken, item])) == "verbatim"
+    assert verdict(item, ". ".join([*broken, again])) == "renamed"
+    assert verdict(item, ". ".join([*[again.replace("77", str(k)) for k in range(80, 100)], item])) == "verbatim"
+    # nine words with equal values beside a broken instance
+    assert verdict(item, f"{broken[0]}. And buys 5 kg of pears from Maria at noon") == "inconsistent"
+    # copies with words put in between
+    middle = " and then "
+    assert verdict(item, item.replace(middle, " but on second thoughts and then ")) == "verbatim"
+    assert verdict(item, again.replace(middle, f"{middle}quite ")) == "renamed"
+
+
 def labelled():
     rng = random.Random(8)
     vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(200)]
