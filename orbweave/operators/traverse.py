@@ -125,6 +125,11 @@ def closeness(edges: DataFrame, members: DataFrame) -> DataFrame:
     return _scores(sums, members, members.count())
 
 
+def source_bits(sources: DataFrame) -> DataFrame:
+    """(batch, v, bits): every source as its own bit, 64 to a word."""
+    return sources.select(F.floor(F.col("v") / 64).cast("long").alias("batch"), "v", F.expr("shiftleft(1L, cast(pmod(v, 64) as int))").alias("bits"))
+
+
 def closeness_bits(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The same for symmetric edges, 64 sources to a word.
 
@@ -134,8 +139,7 @@ def closeness_bits(edges: DataFrame, members: DataFrame) -> DataFrame:
     inner = stage(induced(edges, members), "induced")
     # isolated members reach nothing and stay out of the rounds
     ends = inner.select(F.col("src").alias("v")).distinct()
-    seed = ends.select(F.floor(F.col("v") / 64).cast("long").alias("batch"), "v", F.expr("shiftleft(1L, cast(pmod(v, 64) as int))").alias("bits"))
-    frontier = seen = stage(seed, "frontier")
+    frontier = seen = stage(source_bits(ends), "frontier")
     sums = []
     level = 0
     while True:

@@ -204,6 +204,12 @@ def _(g):
     return R.expand_bits(g.knows, seed, seed)
 
 
+@_p("bit_expand_all", "knows", "SELECT CAST(floor(src / 64) AS BIGINT) AS batch, dst AS v, bit_or(CASE WHEN src % 64 = 63 THEN CAST('-9223372036854775808' AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(least(src % 64, 62) AS INTEGER) END) AS bits FROM knows GROUP BY 1, 2")
+def _(g):
+    seed = T.source_bits(_set(g.knows, "src"))
+    return R.expand_bits(g.knows, seed, seed)
+
+
 @_p("set_intersect", "interest", "SELECT person AS v FROM interest WHERE tag = 3 INTERSECT SELECT person FROM interest WHERE tag = 26")
 def _(g):
     return _set(g.interest.where("tag = 3"), "person").intersect(_set(g.interest.where("tag = 26"), "person"))
