@@ -130,6 +130,36 @@ def source_bits(sources: DataFrame) -> DataFrame:
     return sources.select(F.floor(F.col("v") / 64).cast("long").alias("batch"), "v", F.expr("shiftleft(1L, cast(pmod(v, 64) as int))").alias("bits"))
 
 
+def msbfs_bits(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(batch, v, bits, d): the sources, 64 to a word, at distance d from which ``v`` is; a source itself at 0."""
+    frontier = seen = stage(source_bits(sources.select("v").distinct()), "frontier")
+    out = frontier.withColumn("d", F.lit(0))
+    depth = 0
+    while True:
+        depth += 1
+        frontier = stage(expand_bits(edges, frontier, seen), "frontier")
+        if frontier.isEmpty():
+            return out
+        out = out.union(frontier.withColumn("d", F.lit(depth)))
+        seen = stage(merge_bits(seen, frontier), "seen")
+
+
+def msbfs_levels_bits(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of ``msbfs_levels``, found 64 sources to a word."""
+    bit = F.explode(F.expr("filter(sequence(0, 63), k -> (shiftrightunsigned(bits, k) & 1L) = 1L)"))
+    return msbfs_bits(edges, sources).select("batch", "v", "d", bit.alias("k")).select((F.col("batch") * 64 + F.col("k")).alias("src"), "v", "d")
+
+
+def distance_sums(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(src, total, reached) of every vertex: sum and number of its distances to ``vertices``, which hold all ends of edges.
+
+    Searched against the edges, the sources at distance d of a vertex are those that it reaches at d.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    n = F.bit_count("bits").cast("long")
+    return msbfs_bits(back, vertices).groupBy(F.col("v").alias("src")).agg(F.sum(n * F.col("d")).alias("total"), F.sum(n).alias("reached"))
+
+
 def closeness_bits(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The same for symmetric edges, 64 sources to a word.
 

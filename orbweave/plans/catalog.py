@@ -382,6 +382,20 @@ def _(g):
     return levels.groupBy("src").agg(F.sum("d").alias("total"), F.count("*").alias("reached"))
 
 
+# every person is a source; keyed recursion keeps one row of a pair
+_MS_ALL = "+r(src, v, d) USING KEY (src, v) AS (SELECT id, id, 0 FROM person UNION SELECT r.src, knows.dst, min(r.d) + 1 FROM r JOIN knows ON knows.src = r.v LEFT JOIN recurring.r o ON o.src = r.src AND o.v = knows.dst WHERE o.src IS NULL GROUP BY r.src, knows.dst)"
+
+
+@_p("msbfs_levels_all", "knows person", _MS_ALL + " SELECT src, v, d FROM r", True)
+def _(g):
+    return T.msbfs_levels_bits(_staged(g.knows), g.person.select(F.col("id").alias("v")))
+
+
+@_p("distance_sum_all", "knows person", _MS_ALL + " SELECT src, sum(d)::BIGINT AS total, count(*) AS reached FROM r GROUP BY src", True)
+def _(g):
+    return T.distance_sums(_staged(g.knows), g.person.select(F.col("id").alias("v")))
+
+
 @_c("bidirectional_distance", "knows", _BFS.format(s=0, e="knows", cap=12) + " SELECT CAST(coalesce((SELECT min(d) FROM r WHERE v = 9), -1) AS BIGINT) AS distance", True)
 def _(g):
     return Q.query1(g, 0, 9, -1)

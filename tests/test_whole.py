@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from parity import compare, connection
 
+from orbweave.operators import traverse
 from orbweave.plans import catalog
 from orbweave.sources.testbed import chat_graph, purchase_graph
 
@@ -31,3 +32,42 @@ def test_bit_expand_all(spark):
     got = {(r.batch, r.v): {k for k in range(64) if r.bits >> k & 1} for r in catalog.queries()["bit_expand_all"](spark, SF).collect()}
     assert got == dict(want)
     assert {62, 63} <= set().union(*got.values())
+
+
+def levels(edges, sources):
+    """{(src, v): d} by plain breadth-first search."""
+    step = defaultdict(set)
+    for src, dst in edges:
+        step[src].add(dst)
+    found = {}
+    for s in sources:
+        near, d = {s}, 0
+        while near:
+            found |= {(s, v): d for v in near}
+            d += 1
+            near = {w for v in near for w in step[v] if (s, w) not in found}
+    return found
+
+
+def test_levels_of_all_persons(spark):
+    g = purchase_graph(spark, SF)
+    want = levels(pairs(g.knows.select("src", "dst")), [r.id for r in g.person.select("id").collect()])
+    got = catalog.queries()["msbfs_levels_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.src, r.v): r.d for r in got} == want
+    sums = defaultdict(lambda: [0, 0])
+    for (src, _), d in want.items():
+        sums[src][0] += d
+        sums[src][1] += 1
+    assert pairs(catalog.queries()["distance_sum_all"](spark, SF).select("src", "total", "reached")) == {(s, *x) for s, x in sums.items()}
+    assert same_as_sql(spark, "msbfs_levels_all")
+    assert same_as_sql(spark, "distance_sum_all")
+
+
+def test_levels_against_direction(spark):
+    edges = [(0, 63), (63, 62), (62, 64), (64, 127), (127, 0), (5, 63)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    v = spark.createDataFrame([(x,) for x in (0, 5, 62, 63, 64, 127, 200)], "v long")
+    want = levels(edges, (0, 5, 62, 63, 64, 127, 200))
+    assert {(r.src, r.v): r.d for r in traverse.msbfs_levels_bits(e, v).collect()} == want
+    sums = {s: (sum(d for (a, _), d in want.items() if a == s), sum(a == s for a, _ in want)) for s, _ in want}
+    assert pairs(traverse.distance_sums(e, v).select("src", "total", "reached")) == {(s, *x) for s, x in sums.items()}
