@@ -227,6 +227,12 @@ def _(g):
     return a.union(g.knows.where("src < 20").select(F.col("dst").alias("v"), F.lit(2).alias("d"))).groupBy("v").agg(F.max("d").alias("d"))
 
 
+@_p("merge_union_all", "knows interest", "SELECT v, max(d) AS d FROM (SELECT person AS v, 1 AS d FROM interest UNION ALL SELECT dst, 2 FROM knows) x GROUP BY v")
+def _(g):
+    a = g.interest.select(F.col("person").alias("v"), F.lit(1).alias("d"))
+    return a.union(g.knows.select(F.col("dst").alias("v"), F.lit(2).alias("d"))).groupBy("v").agg(F.max("d").alias("d"))
+
+
 @_p("min_parent_step", "knows interest", "SELECT dst AS v, min(src) AS parent FROM knows WHERE src IN (SELECT person FROM interest WHERE tag = 3) AND dst NOT IN (SELECT person FROM interest WHERE tag = 3) GROUP BY dst")
 def _(g):
     start = _set(g.interest.where("tag = 3"), "person")
@@ -246,6 +252,15 @@ def _(g):
     return R.overlay(near, g.reply, g.comment, 0).where("src < 5")
 
 
+@_c("frontier_overlay_all", "reply comment knows", f"+{_COUNTS} SELECT a.src AS src, a.dst AS dst FROM reply_n a JOIN reply_n b ON a.src = b.dst AND a.dst = b.src SEMI JOIN knows k ON k.src = a.src AND k.dst = a.dst WHERE a.n > 0 AND b.n > 0 AND a.src IN (SELECT creator FROM comment JOIN reply ON id = child)")
+def _(g):
+    # the frontier: persons who replied
+    replied = g.comment.join(g.reply.select(F.col("child").alias("id")), "id", "left_semi").select(F.col("creator").alias("src")).distinct()
+    out = g.knows.join(replied, "src", "left_semi").select("src", "dst")
+    near = out.union(reverse(out)).distinct()
+    return R.overlay(near, g.reply, g.comment, 0).join(replied, "src", "left_semi").select("src", "dst")
+
+
 @_p("optional_count_distinct", "person knows interest", "SELECT id, count(DISTINCT interest.tag) AS n FROM person LEFT JOIN knows ON src = id LEFT JOIN interest ON interest.person = dst GROUP BY id")
 def _(g):
     tags = g.interest.select(F.col("person").alias("dst"), "tag")

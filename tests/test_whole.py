@@ -71,3 +71,21 @@ def test_levels_against_direction(spark):
     assert {(r.src, r.v): r.d for r in traverse.msbfs_levels_bits(e, v).collect()} == want
     sums = {s: (sum(d for (a, _), d in want.items() if a == s), sum(a == s for a, _ in want)) for s, _ in want}
     assert pairs(traverse.distance_sums(e, v).select("src", "total", "reached")) == {(s, *x) for s, x in sums.items()}
+
+
+def test_merge_union_all(spark):
+    assert same_as_sql(spark, "merge_union_all")
+    g = purchase_graph(spark, SF)
+    want = dict.fromkeys((r.person for r in g.interest.collect()), 1) | dict.fromkeys((r.dst for r in g.knows.collect()), 2)
+    assert pairs(catalog.queries()["merge_union_all"](spark, SF).select("v", "d")) == set(want.items())
+
+
+def test_frontier_overlay_all(spark):
+    assert same_as_sql(spark, "frontier_overlay_all")
+    g = chat_graph(spark, SF)
+    creator = {r.id: r.creator for r in g.comment.collect()}
+    replied = {(creator[r.child], creator[r.parent]) for r in g.reply.collect()}
+    knows = pairs(g.knows.select("src", "dst"))
+    want = {(a, b) for a, b in knows if (a, b) in replied and (b, a) in replied}
+    assert pairs(catalog.queries()["frontier_overlay_all"](spark, SF).select("src", "dst")) == want
+    assert max(a for a, _ in want) >= 5
