@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,10 +32,12 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    A session without that setting (a test on one machine) gets a temporary folder.
+    A local session without that setting (a test) gets a temporary folder; on a cluster its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orbweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +56,25 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def stage_buckets(df: DataFrame, name: str, key: str, buckets: int, compression: str = "zstd") -> DataFrame:
+    """As ``stage``, dealt by ``key``: grouping or cogrouping the result by it moves only the other side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{table}"
+    writer = df.write.format("parquet").option("compression", compression).option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only; the files belong to ``path``
+    out._staged_path = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver forget shuffles and broadcasts that nothing refers to, so that their files go now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)
