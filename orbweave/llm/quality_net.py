@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbweave.llm.textbytes import text_column
+from orbweave.llm.textbytes import text_column, tidied
 from orbweave.llm.toxicity import training_rows
 
 #: Bytes of half a chunk; a chunk is two neighbouring halves, so chunks overlap by half.
 HALF = 128
 WIDTH, STEP, FILTERS, HIDDEN = 8, 2, 32, 16
-#: The fit's sample: so many labelled rows of each class at most, and evenly spread halves of each.
-LOW_ROWS, GOOD_ROWS, TRAIN_HALVES = 1500, 2500, 16
+#: The fit's sample: so many labelled rows of each class at most, whole texts, with FIT_BYTES a class together.
+LOW_ROWS, GOOD_ROWS, FIT_BYTES = 1500, 2500, 8 << 20
 EPOCHS, BATCH, RATE = 8, 64, 3e-3
 #: Halves that one pass holds.
 PASS_HALVES = 1024
@@ -98,6 +98,25 @@ def _document(pooled: np.ndarray, row: np.ndarray, n: int):
     return np.c_[mean, most].astype(np.float32), (left, right, chunk, own, starts, count, most)
 
 
+def _summary(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean and maximum over the chunks of each row; a row alone goes in pieces of a pass that share a half."""
+    if len(offsets) > 2 or len(data) <= PASS_HALVES * HALF:
+        raw, row = halves(data, offsets)
+        return _document(_pooled(net, raw), row, len(offsets) - 1)[0]
+    total, most, count, step = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0, (PASS_HALVES - 1) * HALF
+    n_halves = -(-len(data) // HALF)
+    for a in range(0, n_halves - 1, PASS_HALVES - 1):
+        own = min(PASS_HALVES, n_halves - a)
+        part = data[a * HALF : a * HALF + step + HALF + WIDTH]
+        raw, _ = halves(part, np.array([0, len(part)]))
+        pooled = _pooled(net, raw[:own])
+        chunk = np.maximum(pooled[:-1], pooled[1:])
+        total += chunk.sum(0, dtype=float)
+        most = np.maximum(most, chunk.max(0))
+        count += len(chunk)
+    return np.r_[total / count, most].astype(np.float32)[None]
+
+
 def predict(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     if not n:
@@ -107,8 +126,7 @@ def predict(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     while a < n:  # rows of about one pass together
         b = int(np.searchsorted(offsets, offsets[a] + PASS_HALVES * HALF, "right")) - 1
         b = min(max(b, a + 1), n, a + PASS_HALVES)
-        raw, row = halves(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        x, _ = _document(_pooled(net, raw), row, b - a)
+        x = _summary(net, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         z = np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2
         out.append(1 / (1 + np.exp(-np.clip(z[:, 0].astype(float), -30, 30))))
         a = b
@@ -123,9 +141,6 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0
     own = []
     for t in texts:
         raw, _ = halves(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
-        if len(raw) > TRAIN_HALVES:  # pairs of neighbours, evenly spread
-            at = np.linspace(0, len(raw) - 2, TRAIN_HALVES // 2).astype(int)
-            raw = raw[np.unique(np.r_[at, at + 1])]
         own.append(raw)
     y = np.array(labels, np.float32)
     d = WIDTH * CODES.shape[1]
@@ -142,10 +157,14 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0
             ids = order[a : a + BATCH]
             raw = np.concatenate([own[i] for i in ids])
             row = np.repeat(np.arange(len(ids)), [len(own[i]) for i in ids])
-            patches = _patches(raw)
-            conv = (patches @ p["filters"]).reshape(len(raw), -1, FILTERS)
-            where = conv.argmax(1)
-            top = np.take_along_axis(conv, where[:, None], 1)[:, 0] + p["bias"]
+            passes = range(0, len(raw), 4 * PASS_HALVES)
+            where, top = np.empty((len(raw), FILTERS), np.int64), np.empty((len(raw), FILTERS), np.float32)
+            for b in passes:
+                patches = _patches(raw[b : b + 4 * PASS_HALVES])
+                conv = (patches @ p["filters"]).reshape(-1, HALF // STEP, FILTERS)
+                here = conv.argmax(1)
+                where[b : b + len(conv)] = here
+                top[b : b + len(conv)] = np.take_along_axis(conv, here[:, None], 1)[:, 0] + p["bias"]
             pooled = np.maximum(top, 0)
             x, (left, right, chunk, doc, starts, count, most) = _document(pooled, row, len(ids))
             h = np.maximum(x @ p["w1"] + p["b1"], 0)
@@ -162,8 +181,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0
             np.add.at(dpool, right, dchunk * ~to_left)
             dpool *= top > 0
             g["bias"] = dpool.sum(0)
-            place = where + (np.arange(len(raw)) * (HALF // STEP))[:, None]
-            g["filters"] = np.stack([dpool[:, f] @ patches[place[:, f]] for f in range(FILTERS)], 1)
+            g["filters"] = np.zeros_like(p["filters"])
+            for b in passes:
+                if len(passes) > 1:
+                    patches = _patches(raw[b : b + 4 * PASS_HALVES])
+                here, back = where[b : b + 4 * PASS_HALVES], dpool[b : b + 4 * PASS_HALVES]
+                place = here + (np.arange(len(back)) * (HALF // STEP))[:, None]
+                g["filters"] += np.stack([back[:, f] @ patches[place[:, f]] for f in range(FILTERS)], 1)
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -176,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, kept) -> Net | None:
     """Fit on the bounded sample; the rarer class is drawn more often, which the last bias makes good."""
     from pyspark.sql import functions as F
 
-    rows = training_rows(docs, labels, "quality", kept, {0: LOW_ROWS, 1: GOOD_ROWS})
+    rows = training_rows(docs, labels, "quality", kept, {0: LOW_ROWS, 1: GOOD_ROWS}, FIT_BYTES)
     net = fit([t for t, _ in rows], [y for _, y in rows])
     if net is not None:
         share = labels.where(kept(F.col("doc_id").cast("long"))).agg(F.avg(F.col("quality").cast("double"))).first()[0]
@@ -202,4 +226,4 @@ def score(docs: DataFrame, net: Net | None, keep: list[str] | None = None) -> Da
             p = np.ones(batch.num_rows) if shared.value is None else predict(shared.value, *text_column(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

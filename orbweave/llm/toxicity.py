@@ -1,34 +1,43 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
-A window of text is compressed twice, with a dictionary of ordinary text followed by segments that
-mark toxic documents, and with one followed by as many ordinary bytes.  The difference in length is
-the window's distance; how often it passes each of several thresholds, with weights calibrated on
+Both dictionaries hold the same part that zstandard's trainer took from ordinary windows, and then a
+part of its own class: for toxic text, what the trainer takes from those windows of toxic documents
+that other toxic documents help to compress and ordinary text doesn't; for ordinary text, what it
+takes from windows of ordinary documents.  A window's distance is the difference of its compressed
+lengths with either; how often it passes each of several thresholds, with weights calibrated on
 labelled rows that the dictionaries of their fold haven't seen, gives a document's score.
 """
 
 from __future__ import annotations
 
-import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.textbytes import chunks, mix, text_column
+from orbweave.llm.textbytes import chunks, mix, text_column, tidied
 
 WINDOW, STRIDE = 64, 48
-BASE_BYTES, SIDE_BYTES, COVER = 8000, 2000, 2
-#: The fit's sample: so many labelled rows of each class at most, and of longer texts SAMPLE_PARTS
-#: pieces spread evenly from the first byte to the last, TRAIN_BYTES together.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES, SAMPLE_PARTS = 2000, 4000, 24_000, 12
-#: Lengths of segments, the least documents that have one, and how much more often toxic ones must.
-GRAMS, MIN_DOCS, CONTRAST = (5, 6, 7, 8), 4, 12.0
+#: The fit's sample: so many labelled rows of each class at most, whole texts, with FIT_BYTES a class together.
+TOXIC_ROWS, ORDINARY_ROWS, FIT_BYTES = 2000, 4000, 12 << 20
+#: Bytes of the shared and the own part of a dictionary, and the trainer's segment and d-mer lengths for each.
+SHARED_BYTES, OWN_BYTES = 16_000, 1200
+SHARED_KD, OWN_KD = (24, 8), (12, 6)
+#: Windows that train the shared part; they are drawn evenly from all of the sample's.
+SHARED_WINDOWS = 30_000
+#: Telling windows: their bytes and step, those of the coarse windows looked at before, and the bytes that others save.
+FINE, FINE_STEP, COARSE, COARSE_STEP, SAVED = 14, 4, 48, 34, 4
+#: Parts of the toxic documents; a window is looked for in the other parts.  Bytes of ordinary text that it is held against.
+PARTS, GROUND_BYTES = 2, 2 << 20
 THRESHOLDS = (1, 2, 3, 4, 6)
 LEVEL = 3
+#: Text that stands before every window whose cost is taken, and last in the dictionaries: frames of few bytes aren't compressed at all.
+LEAD = bytes(range(33, 73))
 
 
 @dataclass
@@ -40,78 +49,70 @@ class Model:
     weights: np.ndarray
 
 
-def _gram_docs(texts: list[bytes], g: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct grams of g bytes as integers, how many texts have each), among ``known`` if given."""
-    parts = []
-    for t in texts:
-        raw = np.frombuffer(t, np.uint8).astype(np.uint64)
-        n = len(raw) - g + 1
-        if n <= 0:
-            continue
-        acc = np.zeros(n, np.uint64)
-        for k in range(g):
-            acc = (acc << np.uint64(8)) | raw[k : k + n]
-        own = np.unique(acc)
-        if known is not None:
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            own = own[known[at] == own]
-        parts.append(own)
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _toxic_segments(toxic: list[bytes], ordinary: list[bytes], size: int) -> bytes:
-    """Segments far more frequent in toxic texts, a greedy cover of those texts; the first chosen comes last.
-
-    Each text is to be covered COVER times; a segment that shares four bytes with a chosen one adds nothing.
+def _trained(windows: list[bytes], size: int, kd: tuple[int, int]) -> bytes:
+    """``size`` bytes of content that zstandard's trainer takes from ``windows``.
+
+    The trainer needs more text than it gives; windows that hold too little of it are the content themselves.
     """
-    least = max(MIN_DOCS, len(toxic) // 100)
-    held: dict[bytes, list[int]] = {}
-    for g in GRAMS:
-        grams, docs = _gram_docs(toxic, g, None)
-        grams, docs = grams[docs >= least], docs[docs >= least]
-        if not len(grams):
-            continue
-        seen, times = _gram_docs(ordinary, g, grams)
-        other = np.zeros(len(grams))
-        other[np.searchsorted(grams, seen)] = times
-        clear = docs / max(len(toxic), 1) >= CONTRAST * (other + 0.5) / max(len(ordinary), 1)
-        for x in grams[clear].tolist():
-            held[x.to_bytes(g, "big")] = []
-    for i, t in enumerate(toxic):
-        for g in GRAMS:
-            for x in {t[k : k + g] for k in range(len(t) - g + 1)} & held.keys():
-                held[x].append(i)
-    need = np.full(len(toxic), COVER)
-    queue = [(-len(d) * len(x) ** 0.5, x) for x, d in held.items()]
-    heapq.heapify(queue)
-    content, known = b"", set()
-    while queue and len(content) < size:
-        old, x = heapq.heappop(queue)
-        if any(x[k : k + 4] in known for k in range(len(x) - 3)):
-            continue
-        gain = int((need[held[x]] > 0).sum())
-        now = -gain * len(x) ** 0.5
-        if gain < least:
-            continue
-        if now > old:
-            heapq.heappush(queue, (now, x))
-            continue
-        need[held[x]] -= 1
-        known |= {x[k : k + 4] for k in range(len(x) - 3)}
-        content = x + content
-    return content[-size:]
+    if sum(map(len, windows)) < 8 * size:
+        return b"".join(windows)[-size:]
+    # the trainer's header and entropy tables come first and take 600 bytes at most
+    return zstandard.train_dictionary(size + 600, windows, k=kd[0], d=kd[1]).as_bytes()[-size:]
+
+
+class _Ground:
+    """What windows cost, in bytes, with some content as the dictionary."""
+
+    def __init__(self, content: bytes):
+        self.params = zstandard.ZstdCompressionParameters(
+            window_log=24, hash_log=20, chain_log=21, search_log=6, min_match=4, target_length=64,
+            strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False,
+        )
+        self.content = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.content.precompute_compress(compression_params=self.params)
+
+    def cost(self, windows: list[bytes]) -> np.ndarray:
+        size = np.array([len(LEAD) + len(w) for w in windows], np.int64)
+        start = np.cumsum(size) - size
+        data = b"".join([LEAD + w for w in windows])
+        frames = zstandard.BufferWithSegments(data, np.stack([start, size], 1).astype("<u8").tobytes())
+        press = zstandard.ZstdCompressor(dict_data=self.content, compression_params=self.params)
+        return np.fromiter(map(len, press.multi_compress_to_buffer(frames, threads=2)), np.int64, len(windows))
+
+
+def _cut(text: bytes, size: int, step: int) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, max(1, len(text) - size + step), step)]
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Windows of toxic documents that cost SAVED bytes less with other toxic documents than with as much ordinary text."""
+    parts = [toxic[k::PARTS] for k in range(PARTS)]
+    others = [b"".join(t for j, p in enumerate(parts) if j != k for t in p)[-GROUND_BYTES:] for k in range(PARTS)]
+    ground = b"".join(ordinary)[-(GROUND_BYTES + max(map(len, others))) :]
+    without, found = _Ground(ground), []
+    for own, more in zip(parts, others, strict=True):
+        windows = [w for t in own for w in _cut(t, COARSE, COARSE_STEP)]
+        beside = _Ground(ground[len(more) :] + more)
+        for size, step in ((FINE, FINE_STEP), (0, 0)):
+            if not windows:
+                break
+            saved = without.cost(windows) - beside.cost(windows)
+            windows = [w for w, x in zip(windows, saved.tolist(), strict=True) if x >= SAVED]
+            if size:
+                windows = [x for w in windows for x in _cut(w, size, step)]
+        found += windows
+    return found
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents of equal size."""
-    windows = [t[i : i + WINDOW] for t in ordinary for i in range(0, min(len(t), 8 * WINDOW), WINDOW)]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, windows, k=24, d=6).as_bytes()[-BASE_BYTES:]
-    except zstandard.ZstdError:
-        base = b"".join(windows)[-BASE_BYTES:]
-    side = _toxic_segments(toxic, ordinary, SIDE_BYTES)
-    rest = b"".join(windows[len(windows) // 2 :])
-    return base + rest[: len(side)].ljust(len(side)), base + side
+    windows = [w for t in ordinary for w in _cut(t, WINDOW, WINDOW)]
+    windows = windows[:: -(-len(windows) // SHARED_WINDOWS)]
+    shared = _trained(windows, SHARED_BYTES, SHARED_KD)
+    side = _trained(_telling(toxic, ordinary), OWN_BYTES, OWN_KD)
+    plain = _trained([w[:FINE] for w in windows], OWN_BYTES, OWN_KD)
+    size = min(len(side), len(plain))
+    return shared + plain[len(plain) - size :], shared + side[len(side) - size :]
 
 
 class Distance:
@@ -192,14 +193,9 @@ def _without_copies(pairs: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     return out
 
 
-def sample_bytes(text: str | None) -> bytes:
-    """The bytes of ``text`` that a fit sees: all, or evenly spread pieces if there are over TRAIN_BYTES."""
-    raw = (text or "").encode()
-    if len(raw) <= TRAIN_BYTES:
-        return raw
-    size = TRAIN_BYTES // SAMPLE_PARTS
-    starts = [k * (len(raw) - size) // (SAMPLE_PARTS - 1) for k in range(SAMPLE_PARTS)]
-    return b" ".join(raw[a : a + size] for a in starts)
+def _shuffled(pair: tuple[bytes, int]) -> tuple[int, bytes, int]:
+    """An order that doesn't follow the texts, the same in every run."""
+    return zlib.crc32(pair[0]), *pair
 
 
 def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model | None:
@@ -208,7 +204,7 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     ``share`` is the share of toxic ones among all labelled texts, if the given ones aren't drawn evenly.
     """
     pairs = _without_copies(
-        sorted({(b" " + sample_bytes(t), int(y)) for t, y in zip(texts, toxic, strict=True)})
+        sorted({(b" " + (t or "").encode(), int(y)) for t, y in zip(texts, toxic, strict=True)}, key=_shuffled)
     )
     if len({y for _, y in pairs}) < 2:
         return None
@@ -240,18 +236,27 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     return Model(ordinary, side, mean, scale, w)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, kept, limits: dict[int, int]) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts: of each class the first ``limits`` rows in an order by hash."""
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, kept, limits: dict[int, int], limit_bytes: int
+) -> list[tuple[str, int]]:
+    """A bounded sample of labelled texts, each whole: of every class the first rows in an order by hash.
+
+    There are at most ``limits`` of them, and as many as have ``limit_bytes`` together.  Rows that share a
+    doc_id count as one (the text of the least hash), and so does a doc_id labelled more than once (each label).
+    """
     key = F.col("doc_id").cast("long")
     known = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("y")).where(kept(key) & F.col("y").isNotNull())
     picked = None
     for y, n in limits.items():
         part = known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
-    text = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most sum(limits) rows, so this side may be broadcast
-    found = text.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return [(r["text"] or "", r["y"]) for r in found.limit(2 * sum(limits.values())).collect()]
+    found = text.join(F.broadcast(picked), "doc_id")
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sized = one.select("y", "doc_id", "t.text", F.sum(F.octet_length("t.text")).over(order).alias("bytes"))
+    return [(r["text"], r["y"]) for r in sized.where(F.col("bytes") <= limit_bytes).orderBy("y", "bytes", "doc_id").collect()]
 
 
 def crc_mod(key, n: int):
@@ -260,7 +265,7 @@ def crc_mod(key, n: int):
 
 def train(docs: DataFrame, labels: DataFrame, kept=None) -> Model | None:
     kept = kept or (lambda key: F.lit(True))
-    rows = training_rows(docs, labels, "toxic", kept, {1: TOXIC_ROWS, 0: ORDINARY_ROWS})
+    rows = training_rows(docs, labels, "toxic", kept, {1: TOXIC_ROWS, 0: ORDINARY_ROWS}, FIT_BYTES)
     share = labels.where(kept(F.col("doc_id").cast("long"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit([t for t, _ in rows], [y for _, y in rows], share)
 
@@ -289,4 +294,4 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
                 p = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
