@@ -1,34 +1,48 @@
 """Personal data: validated base patterns, widened by bootstrapped contextual extraction.
 
-The spans of the base patterns are seeds.  The words before a seed form a lexical pattern; Spark
-scores the bipartite graph of patterns and instances in rounds, and patterns that mostly stand
-before known identifiers of one kind uncover further identifiers that no base pattern matches.
+Seeds are the spans of the base patterns and, for secrets, strings of a known form.  What stands
+beside a seed (words and signs to its left, to its right, on both sides) and the shape of the seed
+itself form lexical patterns; Spark scores the bipartite graph of patterns and instances in rounds,
+and patterns that mostly go with known identifiers of one kind uncover further ones that no base
+pattern matches: secrets, numbers run together, identifiers of unusual form.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from orbweave.llm.textbytes import tidied
 from orbweave.session import stage
 
-KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that have a base pattern; secrets are only found by their context.
+BASE_KINDS, SECRET = 4, 4
+#: The base patterns.  Runs of digits are taken whole, which changes no match but keeps long ones linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-#: Further identifiers: a run without spaces that has four digits or an at sign.
-CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
-LETTERS = re.compile(r"[^\W\d_]+")
-CONTEXT_CHARS, CONTEXT_WORDS = 80, 2
-ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 3, 3, 0.6, 0.5
+#: Further identifiers: a run without spaces that has digits or an at sign, looked for from the run's first sign only.
+CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+#: Seeds of secrets, whole: hexadecimal digests, and keys of well-known forms.
+SECRET_SEED = re.compile(
+    r"(?:[0-9a-f]{16,20}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|akia[0-9a-z]{16}|gh[opsur]_[0-9a-z]{36}|sk-[0-9a-z_-]{20,})\Z"
+)
+PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Signs on the same line that count as context on each side, and the longest instance whose shape is a pattern.
+CONTEXT_CHARS, SHAPE_CHARS = 80, 40
+#: Rounds of scoring; a pattern needs so many distinct seeds of a kind, and its score has SMOOTH instances of score 0.
+ROUNDS, MIN_SEEDS, SMOOTH, MIN_PATTERN, MIN_INSTANCE = 3, 3, 2, 0.6, 0.5
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -86,123 +100,202 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def context(text: str, start: int) -> str:
-    """The last words before a place, in lower case, as far as they are on its line and near."""
-    before = text[max(0, start - CONTEXT_CHARS) : start].rpartition("\n")[2]
-    return " ".join(LETTERS.findall(before.lower())[-CONTEXT_WORDS:])
+def can_be(word: str) -> int:
+    """The kinds (a bit each) whose form ``word`` has; what a base pattern's own check refuses is never of its kind."""
+    digits = sum("0" <= c <= "9" for c in word)
+    plain = digits == len(word) - sum(c in " -" for c in word)
+    out = 0
+    if "@" in word[1:-1]:
+        out |= 1
+    if digits >= 4 and word.count(".") + word.count(":") >= 2 and not IP.fullmatch(word):
+        out |= 2
+    if digits >= 12 and not (plain and 13 <= digits <= 19):
+        out |= 4
+    if 7 <= digits <= 15 and all(c in "+0123456789().-/ " for c in word):
+        out |= 8
+    if len(word) >= 8 and digits >= 2 and len(word) - digits >= 2 and not any(c in " @/" for c in word):
+        out |= 1 << SECRET
+    return out
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns of a place: two and three pieces to the left, two to the right, one on each side; and its own shape."""
+    lo = max(0, start - CONTEXT_CHARS)
+    left = PIECE.findall(text[lo:start].rpartition("\n")[2].lower())
+    right = PIECE.findall(text[end : end + CONTEXT_CHARS].partition("\n")[0].lower())
+    out = [f"l{n} {' '.join(left[-n:])}" for n in (2, 3) if len(left) >= n]
+    if len(right) >= 2:
+        out.append(f"r2 {' '.join(right[:2])}")
+    if left and right:
+        out.append(f"b1 {left[-1]} {right[0]}")
+    word = text[start:end]
+    if end - start <= SHAPE_CHARS and not word.isdigit():
+        out.append("s " + "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word))
+    return out
+
+
+def _instance(word: str) -> str:
+    """What stands for an identifier in the graph: itself in lower case, or a digest of a long one."""
+    low = word.lower()
+    return low if len(low) <= 64 else "#" + hashlib.blake2b(low.encode(), digest_size=16).hexdigest()
+
 
+def _phones(text: str, taken) -> Iterator[tuple[int, int]]:
+    """Of a run that begins like a phone number and has too many digits: the longest part up to a space that hasn't."""
+    for m in PHONE.finditer(text):
+        if sum(c.isdigit() for c in m[0]) > 15 and (cut := re.match(r"(?:\D*\d){9,15}(?= )", m[0])):
+            if not taken(m.start(), m.start() + cut.end()):
+                yield m.start(), m.start() + cut.end()
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(kind or -1, start, end, context, instance) of seeds and of further candidates outside of them."""
-    out = [(k, a, b, context(text, a), text[a:b].lower()) for k, a, b in base]
+
+def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, str, list[str]]]:
+    """(kind or -1, start, end, kinds it can be, instance, patterns) of seeds and of candidates outside base spans."""
+    out = [(k, a, b, 1 << k, _instance(text[a:b]), contexts(text, a, b)) for k, a, b in base]
     if not _DIGITS.search(text) and "@" not in text:
         return out
-    taken = sorted((a, b) for _, a, b in base)
-    i = 0
+    spans = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in spans]
+    reach = [-1, *accumulate((b for _, b in spans), max)]
+
+    def taken(a: int, b: int) -> bool:
+        return reach[bisect_left(starts, b)] > a
+
+    if "+" in text:
+        for a, b in _phones(text, taken):
+            out.append((-1, a, b, can_be(text[a:b]), _instance(text[a:b]), contexts(text, a, b)))
     for m in CANDIDATE.finditer(text):
-        word = m[0].strip(".,;:!?\"'()[]{}<>|*#$%&")
-        if len(word) < 5 or (sum("0" <= c <= "9" for c in word) < 4 and "@" not in word):
+        run, at = m[0], m.start()
+        if "=" in run or ":" in run:  # name=value is a name, a sign and a value
+            run = run.rstrip("=")
+            cut = max(run.rfind("="), run.rfind(":", 0, -1) if "://" not in run and run.count(":") == 1 else -1) + 1
+            run, at = run[cut:], at + cut
+        word = run.strip(".,;:!?\"'()[]{}<>|*#$%&`=")
+        if len(word) < 5 or not (can := can_be(word)):
             continue
-        a = m.start() + m[0].index(word)
+        a = at + run.index(word)
         b = a + len(word)
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if all(not (x < b and a < y) for x, y in taken[i : i + 8]):
-            out.append((-1, a, b, context(text, a), word.lower()))
+        if not taken(a, b):
+            kind = SECRET if SECRET_SEED.match(word.lower()) and can >> SECRET & 1 else -1
+            out.append((kind, a, b, can, _instance(word), contexts(text, a, b)))
     return out
 
 
-FOUND = (
-    "doc_id long, uid long, text_key binary, base array<struct<kind:int,start:int,end:int>>, "
-    "seen array<struct<kind:int,start:int,end:int,context:string,instance:string>>"
-)
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+SEEN = "array<struct<kind:int,start:int,end:int,can:int,instance:string,contexts:array<string>>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_SEEN = pa.struct([*_SPAN, pa.field("context", pa.string()), pa.field("instance", pa.string())])
-
-
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    uid = TaskContext.get().partitionId() << 33
-    names = ("kind", "start", "end", "context", "instance")
-    for batch in batches:
-        base_col, seen_col, keys = [], [], []
-        for value in batch.column(1):
-            text = value.as_py() or ""
-            base = base_spans(text)
-            base_col.append([dict(zip(names, x, strict=False)) for x in base])
-            seen_col.append([dict(zip(names, x, strict=True)) for x in occurrences(text, base)])
-            keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
-        n = batch.num_rows
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": batch.column(0),
-                "uid": pa.array(range(uid, uid + n), pa.int64()),
-                "text_key": pa.array(keys, pa.binary()),
-                "base": pa.array(base_col, pa.list_(_SPAN)),
-                "seen": pa.array(seen_col, pa.list_(_SEEN)),
-            }
-        )
-        uid += n
+_SEEN = pa.struct(
+    [*_SPAN, pa.field("can", pa.int32()), pa.field("instance", pa.string()), pa.field("contexts", pa.list_(pa.string()))]
+)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(context, kind, score) of patterns from distinct ``edges(context, instance, kind)``; kind -1 is unknown.
+def _find(names: list[str], text_name: str, keep: list[str]):
+    """Columns ``keep`` of ``names``, and uid, base, seen and open (whether there is a candidate beside base spans)."""
 
-    A pattern's score is the mean score of its instances with one pseudo-instance of score 0;
-    seeds count 1 for their own kind and 0 for others, unknown instances the noisy-or of their
-    patterns in the round before.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 33
+        fields = ("kind", "start", "end", "can", "instance", "contexts")
+        for batch in batches:
+            base_col, seen_col, open_col = [], [], []
+            for value in batch.column(names.index(text_name)):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                seen = occurrences(text, base)
+                base_col.append([dict(zip(fields, x, strict=False)) for x in base])
+                seen_col.append([dict(zip(fields, x, strict=True)) for x in seen])
+                open_col.append(len(seen) > len(base))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(names.index(c)) for c in keep),
+                    pa.array(range(uid, uid + n), pa.int64()),
+                    pa.array(base_col, pa.list_(_SPAN)),
+                    pa.array(seen_col, pa.list_(_SEEN)),
+                    pa.array(open_col, pa.bool_()),
+                ],
+                names=[*keep, "uid", "base", "seen", "open"],
+            )
+            uid += n
+
+    return tidied(run)
+
+
+def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, smooth: int = SMOOTH) -> DataFrame:
+    """(context, kind, score, seeds, n) of patterns from distinct ``edges(context, instance, kind, can)``; kind -1 is unknown.
+
+    A pattern's score is the mean score of its instances with ``smooth`` more of score 0; seeds
+    count 1 for their own kind and 0 for others, unknown instances (for kinds that they can be) the
+    noisy-or of their patterns in the round before.  Patterns with fewer seeds of a kind have none for it.
     """
     edges = stage(edges, "edges")
     sizes = edges.groupBy("context").agg(F.count("*").alias("n"))
     seeds = edges.where("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("seeds"))
     base = seeds.where(F.col("seeds") >= min_seeds).join(sizes, "context")
-    patterns = stage(base.withColumn("score", F.col("seeds") / (F.col("n") + 1)), "patterns")
-    unknown = edges.where("kind < 0").select("context", "instance")
+    patterns = stage(base.withColumn("score", F.col("seeds") / (F.col("n") + smooth)), "patterns")
+    unknown = edges.where("kind < 0").select("context", "instance", "can")
     for _ in range(rounds - 1):
-        hits = unknown.join(patterns.select("context", "kind", "score"), "context")
-        guess = hits.groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("s")
-        )
-        gain = unknown.join(guess, "instance").groupBy("context", "kind").agg(F.sum("s").alias("gain"))
+        hits = unknown.join(patterns.select("context", "kind", "score"), "context").where(_possible())
+        guess = hits.groupBy("instance", "kind").agg(_noisy_or().alias("s"))
+        gain = hits.select("context", "instance", "kind").join(guess, ["instance", "kind"])
+        gain = gain.groupBy("context", "kind").agg(F.sum("s").alias("gain"))
         patterns = stage(
             patterns.drop("score", "gain")
             .join(gain, ["context", "kind"], "left")
-            .withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1)),
+            .withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + smooth)),
             "patterns",
         )
     return patterns.select("context", "kind", "score", "seeds", "n")
 
 
+def _possible():
+    return F.expr("(can >> kind) & 1 = 1")
+
+
+def _noisy_or():
+    return 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
+
+
+def _extra(found: DataFrame, min_pattern: float, min_instance: float) -> DataFrame:
+    """(uid, extra): the spans that high-confidence patterns add to rows of ``found``, those that have any."""
+    seen = found.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
+    seen = seen.select("uid", "kind", "start", "end", "can", "instance", F.explode("contexts").alias("context"))
+    patterns = score_graph(seen.select("context", "instance", "kind", "can").distinct())
+    patterns = patterns.where(F.col("score") >= min_pattern).select("context", F.col("kind").alias("label"), "score")
+    fresh = seen.where(f"kind < 0 OR kind >= {BASE_KINDS}").drop("kind")
+    hits = fresh.join(patterns, "context").where(F.expr("(can >> label) & 1 = 1"))
+    sure = (
+        hits.select("instance", "label", "context", "score").distinct()
+        .groupBy("instance", "label")
+        .agg(_noisy_or().alias("s"))
+        .where(F.col("s") >= min_instance)
+        .groupBy("instance")
+        .agg(F.max(F.struct("s", (-F.col("label")).alias("label"))).alias("best"))
+        .select("instance", (-F.col("best.label")).alias("label"))
+    )
+    span = F.struct(F.col("label").alias("kind"), "start", "end")
+    return hits.join(sure, ["instance", "label"]).groupBy("uid").agg(F.sort_array(F.collect_set(span)).alias("extra"))
+
+
+_NONE = f"CAST(array() AS {SPANS})"
+
+
 def find_pii(docs: DataFrame, min_pattern: float = MIN_PATTERN, min_instance: float = MIN_INSTANCE) -> DataFrame:
-    """(doc_id, uid, text_key, base, extra): spans of every row of ``docs(doc_id, text)``.
+    """(doc_id, uid, base, extra): spans of every row of ``docs(doc_id, text)``.
 
     ``base`` has the validated matches, ``extra`` what high-confidence patterns add (never
-    overlapping a base span), both as arrays of (kind, start, end) in code points.  Null and empty
-    texts have none; repeated rows give one row each; other columns are ignored.
+    overlapping a base span), both as arrays of (kind, start, end) in code points.  Whole texts are
+    searched; a pattern takes up to CONTEXT_CHARS signs of the same line on each side.  Candidates
+    are runs without spaces with digits or an at sign that have the form of some kind (``can_be``).
+    Null and empty texts have no spans; repeated rows give one row each, null doc_ids stay null, an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stage(rows.mapInArrow(_find, FOUND), "pii")
-    seen = found.select("uid", F.explode("seen").alias("s")).select("uid", "s.*").where("context <> ''")
-    edges = seen.select("context", "instance", "kind").distinct()
-    patterns = score_graph(edges).where(F.col("score") >= min_pattern).select("context", "kind", "score")
-    fresh = seen.where("kind < 0").drop("kind")
-    hits = fresh.join(patterns, "context")
-    sure = (
-        hits.groupBy("instance", "kind")
-        .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("s"))
-        .where(F.col("s") >= min_instance)
-        .groupBy("instance")
-        .agg(F.max(F.struct("s", (-F.col("kind")).alias("kind"))).alias("best"))
-        .select("instance", (-F.col("best.kind")).alias("kind"))
-    )
-    known = hits.join(sure, ["instance", "kind"]).select("uid", F.struct("kind", "start", "end").alias("span"))
-    extra = known.groupBy("uid").agg(F.sort_array(F.collect_set("span")).alias("extra"))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    schema = f"doc_id long, uid long, base {SPANS}, seen {SEEN}, open boolean"
+    found = stage(rows.mapInArrow(_find(["doc_id", "text"], "text", ["doc_id"]), schema), "pii")
+    extra = stage(_extra(found, min_pattern, min_instance), "extra")
     return (
-        found.select("doc_id", "uid", "text_key", "base")
-        .join(extra, "uid", "left")
-        .withColumn("extra", F.coalesce("extra", none))
+        found.select("doc_id", "uid", "base").join(extra, "uid", "left").withColumn("extra", F.coalesce("extra", F.expr(_NONE)))
     )
 
 
@@ -213,48 +306,50 @@ def spans_text(col):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, the four counts, base_sha256 and spans of what ``find_pii`` returns."""
+    """doc_id, the base counts, base_sha256 and spans of what ``find_pii`` returns; n_extra and n_found count the added and all."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     joined = lambda c: F.concat_ws(",", F.transform(c, spans_text))
     return found.select(
         "doc_id",
-        *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:BASE_KINDS])),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "extra"))).alias("spans"),
+        F.size("extra").cast("long").alias("n_extra"),
+        (F.size("base") + F.size("extra")).cast("long").alias("n_found"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]`` or ``[PHONE]``.
+    """``docs`` with every found span of ``text`` replaced by its kind in capitals and brackets, as ``[EMAIL]``.
 
-    All columns stay, and null texts stay null; overlapping spans merge under the first one's kind.
+    All columns stay, whatever their names, and null texts stay null; overlapping spans merge under
+    the first one's kind; repeated rows stay.  Rows are searched and written once; only those with
+    a candidate beside base spans are joined with what the patterns add, by a number of their own.
     """
-    found = find_pii(docs).where(F.size("base") + F.size("extra") > 0)
-    spans = found.groupBy("text_key").agg(F.first(F.array_sort(F.concat("base", "extra"))).alias("spans"))
-    columns = docs.columns
-    at = columns.index("text")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [hashlib.blake2b((x.as_py() or "").encode(), digest_size=16).digest() for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*columns, "pii_key"])
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    text = columns[docs.columns.index("text")]
+    fields = [T.StructField(c, f.dataType, True) for c, f in zip(columns, docs.schema.fields, strict=True)]
+    wide = T._parse_datatype_string(f"uid long, base {SPANS}, seen {SEEN}, open boolean")
+    rows = docs.toDF(*columns).withColumn(text, F.col(text).cast("string"))
+    found = stage(rows.mapInArrow(_find(columns, text, columns), T.StructType([*fields, *wide.fields])), "pii")
+    extra = stage(_extra(found, MIN_PATTERN, MIN_INSTANCE), "extra")
+    plain = found.where("NOT open").select(*columns, F.col("base").alias("spans"))
+    more = found.where("open").join(extra, "uid", "left")
+    more = more.select(*columns, F.concat("base", F.coalesce("extra", F.expr(_NONE))).alias("spans"))
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, own in enumerate(batch.column("pii_spans").to_pylist()):
-                if own and texts[i]:
-                    texts[i] = _replace(texts[i], own)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            own = batch.column("spans")
+            cols = [batch.column(c) for c in columns]
+            marked = [i for i, n in enumerate(own.value_lengths().to_pylist()) if n]
+            if marked:
+                texts = batch.column(text).to_pylist()
+                for i in marked:
+                    texts[i] = _replace(texts[i], own[i].as_py())
+                cols[columns.index(text)] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    from pyspark.sql import types as T
-
-    wide = T.StructType([*docs.schema.fields, T.StructField("pii_key", T.BinaryType())])
-    joined = docs.mapInArrow(keyed, wide).join(
-        spans.select(F.col("text_key").alias("pii_key"), F.col("spans").alias("pii_spans")), "pii_key", "left"
-    )
-    return joined.select(*columns, "pii_spans").mapInArrow(replaced, docs.schema)
+    return plain.union(more).mapInArrow(tidied(replaced), T.StructType(fields)).toDF(*docs.columns)
 
 
 def _replace(text: str, spans: list[dict]) -> str:
