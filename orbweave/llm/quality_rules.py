@@ -1,9 +1,9 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each rule compares one measure of a document with a cutoff for its stratum.  The cutoff is the
-strictest of a fixed grid for which labelled good documents prove, by an exact binomial test
-with Bonferroni's correction over strata, rules and grid, that at most a given share of good
-documents is rejected.
+strictest of a fixed grid for which labelled good documents prove, by exact binomial tests, that
+at most a given share of good documents is rejected.  The tests of a grid are a fixed sequence from
+its loosest cutoff on, which needs no correction; strata and rules are corrected for by Bonferroni's.
 """
 
 from __future__ import annotations
@@ -130,7 +130,10 @@ def cutoffs(rates: DataFrame, labels: DataFrame, stratum: str, epsilon: float =
 
     The labelled documents of quality 1 that pass the base rule are the holdout: nothing else was
     fitted on them.  A cutoff is proven if the count of holdout documents above it would be so small
-    with probability at most delta / (strata * rules * cutoffs) if the share were epsilon / rules.
+    with probability at most delta / (strata * rules) if the share were epsilon / rules, and all
+    looser ones are proven too.  Looser cutoffs have counts no larger, so they are whenever it is,
+    and the sequence from the loosest on ends at the strictest cutoff that passes by itself.  With
+    probability 1 - delta no stratum's rules together reject more than ``epsilon`` of its good documents.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("l_doc")).distinct()
     held = rates.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("l_doc"), "left_semi")
@@ -145,7 +148,7 @@ def cutoffs(rates: DataFrame, labels: DataFrame, stratum: str, epsilon: float =
         for c in grid
     ]
     rows = counts.select(stratum, "n", F.explode(F.array(*tests)).alias("t")).select(stratum, "n", "t.*")
-    level = delta / (strata * sum(len(g) for g in RULES.values()))
+    level = delta / (strata * len(RULES))
     proven = rows.where(binomial_tail(F.col("k"), F.col("n"), epsilon / len(RULES)) <= F.lit(level))
     chosen = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"c_{rule}") for rule in RULES]
     return proven.groupBy(stratum).agg(*chosen)
