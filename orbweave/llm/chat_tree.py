@@ -3,8 +3,9 @@
 Every conversation is a path of turn nodes; a node is known by the hash of all turns up to it.
 Conversations sorted by their paths give the depth-first order of the tree, and each adds the nodes
 that the one before it doesn't have.  A node gets its place in the emitted sequence, its position id
-(the length of its ancestors' texts) and the intervals of its ancestors, which are all it attends to
-besides itself.
+(the length of what its ancestors emit), the intervals of its ancestors, which are all it attends to
+besides itself, and the interval that the loss mask covers.  Lengths are tokens of a vocabulary if
+one is given, else code points.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.session import shuffle_partitions, stage
+from orbweave.llm.textbytes import tidied
+from orbweave.llm.token_counts import tokenizer
+from orbweave.session import release, shuffle_partitions, stage, unstage
 
 #: The marks of the template.
 OPEN, CLOSE, HEAD_END = "<|turn|>", "<|end|>", "\n"
@@ -51,29 +54,50 @@ def parse_turn(segment: str) -> tuple[str, str, int, int]:
     return role, unescape(segment[start:end]), start, end
 
 
-TURN = "conv_id long, depth int, node binary, parent binary, segment string, position long"
+TURN = (
+    "conv_id long, depth int, node binary, parent binary, segment string, ids array<int>, size long, position long, "
+    "loss_from long, loss_to long"
+)
+_TURN = (
+    ("conv_id", pa.int64()), ("depth", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("segment", pa.string()),
+    ("ids", pa.list_(pa.int32())), ("size", pa.int64()), ("position", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64()),
+)
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _turns(tokenizer_path: str | None):
     """Rows sorted by conversation and turn -> nodes; only the last node of the conversation is held."""
-    last, parent, depth, position = object(), b"", 0, 0
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for conv, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-            if conv != last:
-                last, parent, depth, position = conv, b"", 0, 0
-            segment = format_turn(role or "", text or "")
-            node = hashlib.blake2b(parent + segment.encode(), digest_size=16).digest()
-            for c, v in zip(cols, (conv, depth, node, parent, segment, position), strict=True):
-                c.append(v)
-            parent, depth, position = node, depth + 1, position + len(segment)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-        names = ("conv_id", "depth", "node", "parent", "segment", "position")
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
-
-
-def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """A row of each turn: conv_id, depth, node, parent, segment, position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(tokenizer_path) if tokenizer_path else None
+        last, parent, depth, position = object(), b"", 0, 0
+        for batch in batches:
+            cols: list[list] = [[] for _ in _TURN]
+            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
+                if conv != last:
+                    last, parent, depth, position = conv, b"", 0, 0
+                segment = format_turn(role or "", text or "")
+                _, _, start, end = parse_turn(segment)
+                ids, size = None, len(segment)
+                if tok is not None:  # head, text and tail have tokens of their own, so that the mask ends between tokens
+                    cut = (segment[:start], segment[start:end], segment[end:])
+                    parts = [tok.encode(x, add_special_tokens=False).ids for x in cut]
+                    ids, start, end = sum(parts, []), len(parts[0]), len(parts[0]) + len(parts[1])
+                    size = len(ids)
+                learned = role == LEARNED_ROLE
+                node = hashlib.blake2b(parent + segment.encode(), digest_size=16).digest()
+                row = (conv, depth, node, parent, segment, ids, size, position, start if learned else None, end if learned else None)
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+                parent, depth, position = node, depth + 1, position + size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, (_, k) in zip(cols, _TURN, strict=True)], names=[n for n, _ in _TURN]
+            )
+
+    return run
+
+
+def conversation_turns(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """A row of each turn: conv_id, depth, node, parent, segment, ids, size, position, and the mask's bounds in the turn."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -82,13 +106,14 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
     )
     n = shuffle_partitions(conversations.sparkSession)
     ordered = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_turns, TURN)
+    return ordered.mapInArrow(tidied(_turns(tokenizer_path)), TURN)
 
 
 def prefix_tree(turns: DataFrame) -> DataFrame:
-    """Nodes in emitted order: shard, start, end, run, node, parent, depth, position, segment, intervals, attends.
+    """Nodes in emitted order: shard, start, end, run, node, parent, depth, position, segment, ids, loss, intervals, attends.
 
-    ``start`` and ``end`` are code points in the sequence of the shard.  Conversations are ranked by
+    ``start`` and ``end`` are places in the sequence of the shard, and so are those of ``loss``, what the
+    loss mask covers of the node (null for turns that aren't learned).  Conversations are ranked by
     their paths over the cluster; each emits, in its rank, the nodes that no earlier one has, which is
     the depth-first order.  The order of nodes is then (``run``, the rank of the emitting conversation;
     depth), and a shard is one range of it.  ``intervals`` has the (shard, start, end) that a node
@@ -107,41 +132,45 @@ def prefix_tree(turns: DataFrame) -> DataFrame:
     ranked = stage(ranked.select(F.monotonically_increasing_id().alias("run"), "path"), "ranked")
     steps = ranked.select("run", F.posexplode("path").alias("depth", "node"))
     # one row a distinct node: a first turn that a third of all conversations share is merged by partial aggregation
-    nodes = turns.groupBy("node").agg(
-        F.first("parent").alias("parent"),
-        F.first("depth").alias("depth"),
-        F.first("position").alias("position"),
-        F.first("segment").alias("segment"),
-    )
+    names = ["run", "node", "parent", "depth", "position", "segment", "ids"]
+    held = ["parent", "depth", "position", "segment", "ids", "size", "loss_from", "loss_to"]
+    nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in held))
     nodes = stage(nodes.join(steps.groupBy("node").agg(F.min("run").alias("run")), "node"), "nodes")
-    names = ["run", "node", "parent", "depth", "position", "segment"]
+    release(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            lens = [len(x) for x in batch.column("segment").to_pylist()]
+            lens = batch.column("size").to_pylist()
             starts = []
             for k in lens:
                 starts.append(at)
                 at += k
             ends = [a + k for a, k in zip(starts, lens, strict=True)]
+            bounds = zip(starts, batch.column("loss_from").to_pylist(), batch.column("loss_to").to_pylist(), strict=True)
+            loss = [None if x is None else {"start": a + x, "end": a + y} for a, x, y in bounds]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * len(lens), pa.int32()),
                     pa.array(starts, pa.int64()),
                     pa.array(ends, pa.int64()),
                     *(batch.column(c) for c in names),
+                    pa.array(loss, pa.struct([("start", pa.int64()), ("end", pa.int64())])),
                 ],
-                names=["shard", "start", "end", *names],
+                names=["shard", "start", "end", *names, "loss"],
             )
 
     schema = (
-        "shard int, start long, end long, run long, node binary, parent binary, depth int, position long, segment string"
+        "shard int, start long, end long, run long, node binary, parent binary, depth int, position long, segment string, "
+        "ids array<int>, loss struct<start:long,end:long>"
     )
-    ordered = nodes.select(*names).repartitionByRange(n, "run", "depth").sortWithinPartitions("run", "depth")
-    placed = stage(ordered.mapInArrow(emit, schema), "tree")
+    ordered = nodes.select(*names, "size", "loss_from", "loss_to")
+    ordered = ordered.repartitionByRange(n, "run", "depth").sortWithinPartitions("run", "depth")
+    placed = stage(ordered.mapInArrow(tidied(emit), schema), "tree")
+    unstage(nodes)
+    release(spark)
     return _with_attends(_with_intervals(placed, steps), ranked)
 
 
@@ -199,7 +228,7 @@ DIGEST = (
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Formatted turns sorted by conversation and depth -> digests; holds one conversation's hashes only."""
+    """Emitted turns sorted by conversation and depth -> digests; holds one conversation's hashes only."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attended_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     now, state = object(), None
@@ -213,7 +242,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for conv, segment, attended in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "attended")), strict=True):
+        wanted = ("conv_id", "segment", "attended", "loss_from", "loss_to")
+        for conv, segment, attended, a, b in zip(*(batch.column(c).to_pylist() for c in wanted), strict=True):
             if state is None or conv != now:
                 if state is not None:
                     done.append(row())
@@ -221,9 +251,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             role, text, _, _ = parse_turn(segment)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
-            if role == LEARNED_ROLE:
-                state[2] += len(text)
-                state[3].update(text.encode())
+            if a is not None:
+                masked = unescape(segment[a:b])
+                state[2] += len(masked)
+                state[3].update(masked.encode())
             state[4] += len(segment)
             state[5] = attended
         yield packed(done)
@@ -232,26 +263,28 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(turns: DataFrame, tree: DataFrame) -> DataFrame:
-    """Digests of every conversation, from the tree's emitted text along its path.
+    """Digests of every conversation, from the tree's emitted text along its path, for trees laid out in code points.
 
-    The loss mask covers the texts of assistant turns, which are taken back from their escaped form.
+    Masked text is what the tree's ``loss`` intervals cover, taken back from its escaped form.
     ``attended_chars`` is what the last turn attends to before itself.
     """
     n = shuffle_partitions(turns.sparkSession)
     path = turns.select("conv_id", "depth", "node")
     attended = F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    nodes = tree.select("node", "segment", attended.alias("attended"))
-    found = path.join(nodes, "node").select("conv_id", "depth", "segment", "attended")
+    mask = [(F.col(f"loss.{k}") - F.col("start")).alias(f"loss_{n}") for k, n in (("start", "from"), ("end", "to"))]
+    nodes = tree.select("node", "segment", attended.alias("attended"), *mask)
+    found = path.join(nodes, "node").select("conv_id", "depth", "segment", "attended", "loss_from", "loss_to")
     ordered = found.repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth")
-    return ordered.mapInArrow(_read_back, DIGEST)
+    return ordered.mapInArrow(tidied(_read_back), DIGEST)
 
 
-def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def format_chats(conversations: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(turns, tree) of ``conversations(conv_id, turn, role, text)``.
 
-    Rows go by turn; equal turns by role and text, and repeated rows are turns of their own.  Null
-    roles and texts are empty; a null conv_id is a conversation of its own; an empty table gives
-    empty results; other columns are ignored.
+    With a vocabulary file the tree's places are tokens and its nodes have their ids, else they are
+    code points.  Rows go by turn; equal turns by role and text, and repeated rows are turns of their
+    own.  Null roles and texts are empty; a null conv_id is a conversation of its own; an empty table
+    gives empty results; other columns are ignored.
     """
-    turns = stage(conversation_turns(conversations), "turns")
+    turns = stage(conversation_turns(conversations, tokenizer_path), "turns")
     return turns, prefix_tree(turns)
