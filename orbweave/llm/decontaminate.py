@@ -21,6 +21,7 @@ from orbweave.llm.textbytes import (
     mix,
     prefix_sums,
     text_column,
+    tidied,
     word_hashes,
     words,
 )
@@ -29,6 +30,8 @@ from orbweave.session import stage
 WINDOW = 8
 #: The share of an item's windows that a document must have, in percent, and the least count.
 COVER_PERCENT, MIN_WINDOWS = 50, 3
+#: So many windows of an item (RUN_WINDOWS + 7 tokens in a row) are enough, whatever its length.
+RUN_WINDOWS = 24
 #: Benchmarks of up to so many distinct windows are broadcast (16 bytes each); larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Units that stand for one placeholder.
@@ -122,7 +125,7 @@ def usable(slot: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
 
 
 def _item_windows(width: int):
-    """(item_id, hash, n_windows, exact) of distinct windows of each item; ``exact`` is 0 for template windows.
+    """(item, hash, n_windows, exact) of distinct windows of each item; ``exact`` is 0 for template windows.
 
     An item with at most MIN_WINDOWS usable template windows (a role that differs at its first token could cost them
     all) has windows of literal tokens too, whose width is ``exact``; an item shorter than a window counts as one of
@@ -145,7 +148,7 @@ def _item_windows(width: int):
                     found.append((np.unique(exact_windows(literal[own], row[own], short)[0]), short))
                 out += [(item, int(x), len(hashes), exact) for hashes, exact in found for x in hashes.view(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["item_id", "hash", "n_windows", "exact"]
+                [pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["item", "hash", "n_windows", "exact"]
             )
 
     return run
@@ -183,7 +186,7 @@ def _document_windows(width: int, exact: list[int], known):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out[0], pa.int64()),
-                    pa.array(out[1], pa.int64()),
+                    pa.array(out[1], pa.binary()),
                     pa.array(out[2], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "key", "hashes"],
@@ -209,7 +212,7 @@ def slot_verdict(item: str, text: str, width: int = WINDOW, cover_percent: int =
     """verbatim, renamed or inconsistent: do the values behind the placeholders of shared windows agree?
 
     Every alignment of the two counts, as judged over all its shared windows: the pair is verbatim if alignments with
-    equal values have enough of the item's windows (``cover_percent`` and MIN_WINDOWS) between them, and renamed if one
+    equal values have enough of the item's windows (``cover_percent`` of them or RUN_WINDOWS, and MIN_WINDOWS) between them, and renamed if one
     alignment has enough and a consistent renaming, or several next to each other (a copy with words put in or left
     out) have so together.  Alignments with fewer windows decide nothing.
     """
@@ -222,7 +225,7 @@ def slot_verdict(item: str, text: str, width: int = WINDOW, cover_percent: int =
     n, m = len(a_h), len(b_h)
     at = a_first[usable(a_slot, a_first, width)]
     kinds, kind = np.unique(a_h[at], return_inverse=True)
-    need = max(-(-len(kinds) * cover_percent // 100), min(MIN_WINDOWS, len(kinds)), 1)
+    need = max(min(-(-len(kinds) * cover_percent // 100), RUN_WINDOWS), min(MIN_WINDOWS, len(kinds)), 1)
     order = np.argsort(b_h, kind="stable")
     low, high = (np.searchsorted(b_h[order], a_h[at], side) for side in ("left", "right"))
     votes = np.zeros(n + m, np.int64)
@@ -272,45 +275,54 @@ def contaminated(
     """(doc_id, item_id, n_shared, n_windows, verdict): documents that hold a benchmark item.
 
     A pair counts if the document has at least ``cover_percent`` of the item's distinct template
-    windows (and MIN_WINDOWS, or all of a shorter item's) and its slots are verbatim or renamed
+    windows, or RUN_WINDOWS of them (and MIN_WINDOWS, or all of a shorter item's), and its slots are verbatim or renamed
     consistently, or, for items with at most MIN_WINDOWS such windows, as many of the item's
     windows of literal tokens, which is verbatim (``n_shared`` and ``n_windows`` then count these).
-    Items with fewer than ``width`` tokens are one literal window.  Null and empty texts match nothing; rows that repeat count once; other columns are ignored.
+    Items with fewer than ``width`` tokens are one literal window.  Texts that
+    share an item_id are items of their own, each with its row for a document.  Null and empty texts match nothing; null ids
+    stay; rows that repeat count once; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stage(b.mapInArrow(_item_windows(width), "item_id long, hash long, n_windows long, exact long").distinct(), "items")
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text"))
+    b = stage(b.where("item_text IS NOT NULL").distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    items = b.select(F.col("item").alias("item_id"), F.col("item_text").alias("text"))
+    items = stage(items.mapInArrow(tidied(_item_windows(width)), "item long, hash long, n_windows long, exact long").distinct(), "items")
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.xxhash64("text").alias("key"),
+        F.unhex(F.md5("text")).alias("key"),
     )
     known, distinct = None, items.select("hash").distinct()
     if distinct.count() <= broadcast_windows:
-        table = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
+        table = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
         known = spark.sparkContext.broadcast(table)
     exact = sorted(r[0] for r in items.where("exact > 0").select("exact").distinct().collect())
-    seen = d.mapInArrow(_document_windows(width, exact, known), "doc_id long, key long, hashes array<long>")
+    seen = d.mapInArrow(tidied(_document_windows(width, exact, known)), "doc_id long, key binary, hashes array<long>")
     seen = seen.select("doc_id", "key", F.explode("hashes").alias("hash")).distinct() if known is None else seen.distinct().select(
         "doc_id", "key", F.explode("hashes").alias("hash")
     )
-    shared = seen.join(items, "hash").groupBy("doc_id", "key", "item_id").agg(
+    shared = seen.join(items, "hash").groupBy("doc_id", "key", "item").agg(
         *(f(F.when(k, F.col(c))).alias(n + x) for x, k in (("", F.col("exact") == 0), ("_exact", F.col("exact") > 0)) for f, c, n in ((F.count, "hash", "n_shared"), (F.max, "n_windows", "n_windows")))
     )
 
     def covers(n: str, of: str):
-        return F.coalesce((F.col(n) * 100 >= F.col(of) * cover_percent) & (F.col(n) >= F.least(F.lit(MIN_WINDOWS), F.col(of))), F.lit(False))
+        share = F.least(F.ceil(F.col(of) * cover_percent / 100), F.lit(RUN_WINDOWS))
+        return F.coalesce((F.col(n) >= share) & (F.col(n) >= F.least(F.lit(MIN_WINDOWS), F.col(of))), F.lit(False))
 
     literal = covers("n_shared_exact", "n_windows_exact")
     enough = shared.where(literal | covers("n_shared", "n_windows")).select(
-        "doc_id", "key", "item_id", literal.alias("literal"),
+        "doc_id", "key", "item", literal.alias("literal"),
         *(F.when(literal, F.col(f"{c}_exact")).otherwise(F.col(c)).alias(c) for c in ("n_shared", "n_windows")),
     )
     enough = stage(enough, "enough")
-    found = enough.where("literal").select("doc_id", "item_id", "n_shared", "n_windows", F.lit("verbatim").alias("verdict"))
+    if known is not None:
+        known.unpersist()
+    names = ["doc_id", "item_id", "n_shared", "n_windows"]
+    found = enough.where("literal").join(b, "item").select(*names, F.lit("verbatim").alias("verdict"))
     enough = enough.where("NOT literal")
-    texts = d.join(enough.select("key").distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    pairs = enough.join(texts, "key").join(b.withColumnRenamed("text", "item_text").dropDuplicates(["item_id"]), "item_id")
+    # a text that many rows have is read once; both sides are of found documents only
+    texts = d.join(stage(enough.select("key").distinct(), "keys"), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    pairs = enough.join(texts, "key").join(b, "item")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,11 +331,11 @@ def contaminated(
                 for x, y in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "item_id", "n_shared", "n_windows")), pa.array(found, pa.string())],
-                names=["doc_id", "item_id", "n_shared", "n_windows", "verdict"],
+                [*(batch.column(c) for c in names), pa.array(found, pa.string())],
+                names=[*names, "verdict"],
             )
 
-    out = pairs.select("doc_id", "item_id", "n_shared", "n_windows", "item_text", "text").mapInArrow(
-        decide, "doc_id long, item_id long, n_shared long, n_windows long, verdict string"
+    out = pairs.select(*names, "item_text", "text").mapInArrow(
+        tidied(decide), "doc_id long, item_id long, n_shared long, n_windows long, verdict string"
     )
     return out.where("verdict <> 'inconsistent'").union(found).distinct()
