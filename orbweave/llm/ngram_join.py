@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.textbytes import shingle_sets
+from orbweave.llm.textbytes import shingle_sets, tidied, tidy
 from orbweave.operators.components import connected_components
-from orbweave.session import shuffle_partitions, stage
+from orbweave.session import release, shuffle_partitions, stage
 
 WIDTH, PERCENT = 4, 85
 #: Slots of the sketch of frequent n-grams: a fixed size, so that it may be broadcast.
@@ -140,7 +140,7 @@ PAIRS = "a long, b long, na long, nb long, c long, run long"
 
 
 def _pairs(percent: int):
-    """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run)."""
+    """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run: its least document)."""
 
     def run(table: pa.Table) -> pa.Table:
         flat = lambda name, kind: np.concatenate(
@@ -174,6 +174,7 @@ def _pairs(percent: int):
             np.arange(count[long].sum()) - np.repeat(np.cumsum(count[long]) - count[long], count[long])
         )
         k = len(at)
+        tidy()
         null = lambda n: pa.nulls(n, pa.int64())
         cat = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x, y])
         return pa.table(
@@ -183,7 +184,7 @@ def _pairs(percent: int):
                 "na": cat(na[new], pa.array(size[at], pa.int64())),
                 "nb": cat(nb[new], null(k)),
                 "c": cat(c.astype(np.int64), null(k)),
-                "run": pa.concat_arrays([null(len(new)), pa.array(key[at].view(np.int64), pa.int64())]),
+                "run": pa.concat_arrays([null(len(new)), pa.array(np.repeat(doc[start[long]], count[long]), pa.int64())]),
             }
         )
 
@@ -274,6 +275,7 @@ def _second_product(percent: int):
             own = o[a:b]
             sets = [np.frombuffer(blobs[int(i)].as_py(), np.uint64) for i in own]
             labels[own] = linked_labels(ids[own], sets, percent)
+        tidy()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64())})
 
     return run
@@ -312,19 +314,21 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = max(8, 2 * shuffle_partitions(spark))
     shapes = stage(
-        text.mapInArrow(_shapes(width), "doc_ids array<long>, sizes array<long>, slots array<int>, counts array<long>"),
+        text.mapInArrow(tidied(_shapes(width)), "doc_ids array<long>, sizes array<long>, slots array<int>, counts array<long>"),
         "shapes",
     )
     weights = spark.sparkContext.broadcast(_sketch(shapes))
     known = text.where("doc_id is not null")
     postings = known.mapInArrow(
-        _postings(weights, width, percent, n_buckets), "bucket int, keys binary, docs binary, sizes binary"
+        tidied(_postings(weights, width, percent, n_buckets)), "bucket int, keys binary, docs binary, sizes binary"
     )
     dealt = postings.groupBy("bucket").applyInArrow(_first_product(percent), PAIRS)
     counted = stage(dealt, "counted")
+    weights.unpersist()
+    release(spark)
     copies = counted.where("c = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("rep")).distinct()
     long = counted.where("run is not null").select(F.col("a").alias("d"), "na", "run")
-    in_long = long.groupBy("d", "na").agg(F.count("*").alias("h"))
+    in_long = stage(long.groupBy("d", "na").agg(F.count("*").alias("h")), "in-long")
     share = lambda n: F.greatest(F.lit(1), F.floor(n / 20))
     hot = stage(in_long.where(F.col("h") >= F.greatest(F.lit(1), F.floor(share(F.col("na")) * percent / 100) - 1)), "hot")
     pairs = counted.where("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
@@ -335,9 +339,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .where(F.col("c") >= need - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    members = long.join(hot.select("d"), "d", "left_semi")
-    heads = members.groupBy("run").agg(F.min("d").alias("u"))
-    by_run = members.join(heads, "run").where("u <> d").select("u", F.col("d").alias("v")).distinct()
+    # every run was whole in its task, so its members come with its least document: nothing is dealt out by run
+    by_run = long.join(hot.select("d"), "d", "left_semi").where("run <> d").select(F.col("run").alias("u"), F.col("d").alias("v")).distinct()
     clusters = stage(
         connected_components(pairs.union(by_run)).select(F.col("v").alias("doc_id"), F.col("component").alias("cluster")),
         "clusters",
@@ -351,7 +354,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "cluster")
     rows = known.join(placed, "doc_id").select("doc_id", "text", "cluster", "blocks")
-    grams = rows.mapInArrow(_grams(width), "doc_id long, cluster long, blocks int, grams binary")
+    grams = rows.mapInArrow(tidied(_grams(width)), "doc_id long, cluster long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     tiles = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).otherwise(
