@@ -113,13 +113,16 @@ def can_be(word: str) -> int:
         out |= 4
     if 7 <= digits <= 15 and all(c in "+0123456789().-/ " for c in word):
         out |= 8
-    if len(word) >= 8 and digits >= 2 and len(word) - digits >= 2 and not any(c in " @/" for c in word):
+    if len(word) >= 8 and 0 < digits < len(word) and not any(c in " @/" for c in word):
         out |= 1 << SECRET
     return out
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a place: two and three pieces to the left, two to the right, one on each side; and its own shape."""
+    """The patterns of a place: two and three pieces to the left, two to the right, one on each side; and its own form.
+
+    Forms are the shape of a short string, and the length and first four letters of one that begins with as many.
+    """
     lo = max(0, start - CONTEXT_CHARS)
     left = PIECE.findall(text[lo:start].rpartition("\n")[2].lower())
     right = PIECE.findall(text[end : end + CONTEXT_CHARS].partition("\n")[0].lower())
@@ -131,6 +134,8 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     word = text[start:end]
     if end - start <= SHAPE_CHARS and not word.isdigit():
         out.append("s " + "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in word))
+    if end - start >= 8 and word[:4].isalpha():
+        out.append(f"p {word[:4].lower()} {end - start}")
     return out
 
 
