@@ -22,14 +22,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.textbytes import mix, powers, prefix_sums, text_column
-from orbweave.session import shuffle_partitions, stage
+from orbweave.llm.textbytes import mix, powers, prefix_sums, text_column, tidied, tidy
+from orbweave.session import release, shuffle_partitions, stage, stage_buckets
 
 LENGTH = 100
 BLOCK_BYTES = 4 << 20
 #: One numpy pass over a part of a block; positions must fit in PLACE_BITS.
 PASS_BYTES = 1 << 20
 PLACE_BITS = 22
+#: Bytes of text for which the anchors, and the strings around repeated ones, are one part at most on average.
+PART_BYTES = 8 << 20
 #: Strings around one anchor beyond which its windows are dealt out singly, by their content.
 HOT = 4096
 
@@ -146,6 +148,16 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in ("block_id", "doc_ids", "lengths", "data")}
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """The byte planes of an array, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _unsqueeze(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _deal(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, cuts): rows of a sorted hash dealt to n parts, in order within each."""
     part = (key >> np.uint64(17)) % np.uint64(n)
@@ -154,7 +166,10 @@ def _deal(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(length: int, n_parts: int):
-    """Of each block the distinct anchors and how many different strings they have there."""
+    """Of each block the distinct anchors (their upper half) and how many strings they have there.
+
+    Two anchors of a part with equal upper halves pass for a repeated one; their strings differ, so nothing follows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +183,9 @@ def _ask(length: int, n_parts: int):
                     {
                         "part": pa.array(used, pa.int32()),
                         "block_id": pa.array([row["block_id"]] * len(used), pa.int64()),
-                        "anchors": pa.array([u[order[cut[p] : cut[p + 1]]].tobytes() for p in used], pa.binary()),
+                        "anchors": pa.array([(u[order[cut[p] : cut[p + 1]]] >> np.uint64(32)).astype("<u4").tobytes() for p in used], pa.binary()),
                         "counts": pa.array(
-                            [n[order[cut[p] : cut[p + 1]]].astype("<u4").tobytes() for p in used], pa.binary()
+                            [_squeeze(np.minimum(n[order[cut[p] : cut[p + 1]]], HOT + 1).astype("<u2")) for p in used], pa.binary()
                         ),
                     }
                 )
@@ -180,8 +195,8 @@ def _ask(length: int, n_parts: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """For the anchors of each block: 0 if it occurs once, 1 if more often, 2 if very often."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("anchors")]
-    counts = [np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")]
+    keys = [np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")]
+    counts = [_unsqueeze(x.as_py(), "<u2") for x in table.column("counts")]
     u, inv = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inv, np.concatenate(counts), len(u))
     code = ((total > 1).astype(np.uint8) + (total > HOT))[inv]
@@ -227,12 +242,13 @@ def _candidates(row, answers: list[tuple[int, bytes]], length: int, n_parts: int
 
 #: Strings of a part: windows lie at columns -lead .. -lead + windows - 1 from the anchor.
 STRINGS = "part int, block_id long, meta binary, text binary"
-_META = np.dtype([("doc", "<i8"), ("order", "<i8"), ("index", "<i8"), ("at", "<i8"), ("lead", "<i4"), ("windows", "<i4"), ("skip", "<i4")])
+_META = np.dtype([("doc", "<i8"), ("order", "<u4"), ("index", "<u4"), ("at", "<u4"), ("lead", "u1"), ("windows", "u1"), ("skip", "u1")])
 
 
 def _strings(length: int, n_parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"part": [], "block_id": [], "meta": [], "text": []}
+        press = zstandard.ZstdCompressor(level=3)
         answers = list(zip(right.column("part").to_pylist(), right.column("codes").to_pylist(), strict=True))
         for row in left.to_pylist():
             data, offsets, ids, raw, h, at, first, count, own, doc, source = _candidates(row, answers, length, n_parts)
@@ -256,9 +272,10 @@ def _strings(length: int, n_parts: int):
                     b += 1
                 out["part"].append(rows[a][0])
                 out["block_id"].append(row["block_id"])
-                out["meta"].append(np.array([r[1] for r in rows[a:b]], _META).tobytes())
-                out["text"].append(b"".join(r[2] for r in rows[a:b]))
+                out["meta"].append(_squeeze(np.array([r[1] for r in rows[a:b]], _META)))
+                out["text"].append(press.compress(b"".join(r[2] for r in rows[a:b])))
                 a = b
+        tidy()
         return pa.table(
             {
                 "part": pa.array(out["part"], pa.int32()),
@@ -350,10 +367,11 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 def _rounds(length: int):
     def run(table: pa.Table) -> pa.Table:
-        metas = [np.frombuffer(x.as_py(), _META) for x in table.column("meta")]
+        open_ = zstandard.ZstdDecompressor()
+        metas = [_unsqueeze(x.as_py(), _META) for x in table.column("meta")]
         meta = np.concatenate(metas)
         block = np.repeat(table.column("block_id").to_numpy(), [len(m) for m in metas])
-        text = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("text")])
+        text = np.concatenate([np.frombuffer(open_.decompress(x.as_py()), np.uint8) for x in table.column("text")])
         windows = meta["windows"].astype(np.int64)
         size = windows + length - 1
         start = np.cumsum(size) - size
@@ -367,6 +385,7 @@ def _rounds(length: int):
         used = used[np.argsort(block[used], kind="stable")]
         cut = np.flatnonzero(np.r_[True, block[used][1:] != block[used][:-1]]) if len(used) else np.zeros(0, np.int64)
         ends = np.r_[cut[1:], len(used)].astype(np.int64)
+        tidy()
         return pa.table(
             {
                 "block_id": pa.array(block[used[cut]], pa.int64()),
@@ -419,6 +438,7 @@ def _apply(length: int, n_parts: int):
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        tidy()
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, cols, kinds, strict=True)})
 
     return run
@@ -436,16 +456,23 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not 8 <= length <= 126:
         raise ValueError("length must be 8 to 126")
     spark = docs.sparkSession
-    n_parts = max(8, 2 * shuffle_partitions(spark))
+    n_buckets = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = stage(rows.mapInArrow(_blocks, BLOCKS), "blocks")
-    asked = blocks.mapInArrow(_ask(length, n_parts), "part int, block_id long, anchors binary, counts binary")
-    codes = stage(asked.groupBy("part").applyInArrow(_answer, "block_id long, part int, codes binary"), "codes")
-    strings = (
-        blocks.groupBy("block_id").cogroup(codes.groupBy("block_id")).applyInArrow(_strings(length, n_parts), STRINGS)
+    blocks = stage_buckets(rows.mapInArrow(tidied(_blocks), BLOCKS), "blocks", "block_id", n_buckets)
+    total = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n_parts = max(8, 2 * n_buckets, -(-total // PART_BYTES))
+    asked = blocks.mapInArrow(tidied(_ask(length, n_parts)), "part int, block_id long, anchors binary, counts binary")
+    codes = stage_buckets(
+        asked.groupBy("part").applyInArrow(_answer, "block_id long, part int, codes binary"), "codes", "block_id", n_buckets
     )
+    del asked
+    release(spark)
+    grouped = blocks.groupBy("block_id")
+    strings = grouped.cogroup(codes.groupBy("block_id")).applyInArrow(_strings(length, n_parts), STRINGS)
     marks = stage(strings.groupBy("part").applyInArrow(_rounds(length), "block_id long, marks binary"), "marks")
+    del strings
+    release(spark)
     both = codes.select("block_id", "part", "codes", F.lit(None).cast("binary").alias("marks")).union(
         marks.select("block_id", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("codes"), "marks")
     )
-    return blocks.groupBy("block_id").cogroup(both.groupBy("block_id")).applyInArrow(_apply(length, n_parts), OUT)
+    return grouped.cogroup(both.groupBy("block_id")).applyInArrow(_apply(length, n_parts), OUT)
