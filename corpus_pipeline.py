@@ -18,32 +18,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression-distance classifier doesn't reject."""
+    """Documents that the compression-distance classifier doesn't reject.
+
+    Null and empty texts are scored as no windows; repeated rows stay or go together, null ids are
+    scored as any other; without labels of both classes all stay.
+    """
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), lambda key: toxicity.crc_mod(key, 5) != 0)
     return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that n-gram links connect; null ids stay."""
+    """The document of the smallest doc_id of each group that n-gram links connect.
+
+    Rows without words and null ids link with nothing and stay.  Of rows that share a doc_id, one of
+    each different text stays.
+    """
     found = ngram_join.link_components(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # staged, so that its size is known and Spark broadcasts it below its threshold only
+    copies = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    twice = stage(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, verbatim or re-parameterised."""
+    """Documents without a benchmark item, verbatim or re-parameterised.
+
+    Null and empty texts and null ids stay; rows that share a doc_id go if one of them has an item.
+    """
     leaks = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stage(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with found spans replaced by their kind; n_chars follows the new text."""
+    """All documents, with found spans replaced by their kind; n_chars follows the new text, null texts keep theirs."""
     n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return pii.redact(docs).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents, repeated rows and null ids too, with their places in sequences."""
     return packing.pack(docs)
 
 
