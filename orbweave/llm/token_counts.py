@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.textbytes import tidied, tidy
 from orbweave.session import shuffle_partitions, stage
 
 BLOCK_BYTES = 8 << 20
@@ -227,6 +228,7 @@ def _sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out["doc_id"] += row["doc_ids"]
         out["n_bytes"] += row["n_bytes"]
         out["n_tokens"] += (weighted[ends] - weighted[starts] + np.array(row["plain"], np.int64)).tolist()
+    tidy()
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
@@ -243,7 +245,7 @@ def count_tokens(
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     n_buckets = max(8, 2 * shuffle_partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = stage(rows.mapInArrow(_blocks(path, n_buckets, block_bytes), BLOCK_SCHEMA), "tokens", "zstd")
+    blocks = stage(rows.mapInArrow(tidied(_blocks(path, n_buckets, block_bytes)), BLOCK_SCHEMA), "tokens", "zstd")
     dealt = blocks.select("block_id", F.explode("buckets").alias("x")).select("block_id", "x.bucket", "x.tokens")
     pieces = dealt.groupBy("bucket").applyInArrow(_count_pieces(path), "block_id long, bucket int, pieces binary")
     counted = (
