@@ -29,15 +29,26 @@ def expand_least(edges: DataFrame, frontier: DataFrame, seen: DataFrame) -> Data
     return step.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("parent")).join(seen.select("v"), "v", "left_anti")
 
 
-def expand_bits(edges: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame:
-    """(batch, v, bits): the sources, 64 to a word, that reach a vertex for the first time."""
+def expand_bits(edges: DataFrame, frontier: DataFrame, seen: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(batch, v, bits): the sources, 64 to a word, that reach a vertex for the first time.
+
+    ``done`` has the (batch, v) that all sources of their word have reached; they aren't in ``seen`` any more.
+    """
     step = edges.select(F.col("src").alias("v"), F.col("dst").alias("next"))
     reached = frontier.join(step, "v").groupBy("batch", F.col("next").alias("v")).agg(F.bit_or("bits").alias("bits"))
+    if done is not None:
+        reached = reached.join(done, ["batch", "v"], "left_anti")
     old = seen.select("batch", "v", F.col("bits").alias("old"))
     new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
     return reached.join(old, ["batch", "v"], "left").select("batch", "v", new.alias("bits")).where("bits <> 0")
 
 
+def saturated(bits: DataFrame) -> DataFrame:
+    """(batch, v) of words that have all the bits that any word of their batch has."""
+    full = bits.groupBy("batch").agg(F.bit_or("bits").alias("all"))
+    return bits.join(full, "batch").where(F.col("bits") == F.col("all")).select("batch", "v")
+
+
 def merge_bits(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).groupBy("batch", "v").agg(F.bit_or("bits").alias("bits"))
 
@@ -74,6 +85,21 @@ def overlay(knows: DataFrame, replies: DataFrame, creator: DataFrame, x: int) ->
     return counts.join(back, ["src", "dst"], "left_semi")
 
 
+def overlay_from(frontier: DataFrame, knows: DataFrame, replies: DataFrame, creator: DataFrame, x: int) -> DataFrame:
+    """The overlay's edges from the vertices of ``frontier``; replies of and to other persons aren't counted."""
+    own = frontier.select(F.col("v").alias("src"))
+    near = knows.select("src", "dst").distinct().join(own, "src", "left_semi")
+    if x < 0:
+        return near
+    mine = creator.select(F.col("id").alias("mine"), F.col("creator").alias("src")).join(own, "src", "left_semi")
+    other = creator.select(F.col("id").alias("other"), F.col("creator").alias("dst"))
+    for here, there in (("child", "parent"), ("parent", "child")):  # replies of the frontier, then to it
+        ends = replies.select(F.col(here).alias("mine"), F.col(there).alias("other"))
+        counts = ends.join(mine, "mine").join(other, "other").groupBy("src", "dst").agg(F.count("*").alias("n"))
+        near = near.join(counts.where(F.col("n") > x), ["src", "dst"], "left_semi")
+    return near
+
+
 def common_counts(pairs: DataFrame, interest: DataFrame) -> DataFrame:
     """(a, b, n): shared tags of given pairs only; pairs without any have no row."""
     left = interest.select(F.col("person").alias("a"), "tag")

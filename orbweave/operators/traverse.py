@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.relational import expand, expand_bits, expand_least, expand_unseen, induced, merge_bits
+from orbweave.operators import local
+from orbweave.operators.relational import expand, expand_bits, expand_least, expand_unseen, induced, merge_bits, overlay_from
 from orbweave.session import stage
 
+#: Rows of search state (a vertex and a word of 64 sources) that one wave of ``closeness_bits`` may reach.
+WAVE_ROWS = 2_000_000_000
+
 
 def _vertex(edges: DataFrame, v: int) -> DataFrame:
     return edges.sparkSession.range(1).select(F.lit(v).cast("long").alias("v"))
@@ -72,6 +76,24 @@ def distance(edges: DataFrame, a: int, b: int) -> int:
             seen[k] = seen[k].union(sides[k])
 
 
+def distance_on_the_fly(knows: DataFrame, replies: DataFrame, creator: DataFrame, x: int, a: int, b: int) -> int:
+    """``distance`` over the overlay of mutual replies, of which each round builds the frontier's edges only."""
+    if a == b:
+        return 0
+    sides = [stage(_vertex(knows, v), "frontier") for v in (a, b)]
+    seen, depth = list(sides), 0
+    while True:
+        for k in (0, 1):
+            depth += 1
+            near = overlay_from(sides[k], knows, replies, creator, x).select(F.col("dst").alias("v")).distinct()
+            sides[k] = stage(near.join(seen[k], "v", "left_anti"), "frontier")
+            if not sides[k].join(sides[1 - k], "v", "left_semi").isEmpty():
+                return depth
+            if sides[k].isEmpty():
+                return -1
+            seen[k] = seen[k].union(sides[k])
+
+
 def khop_pairs(edges: DataFrame, vertices: DataFrame, h: int) -> DataFrame:
     """(a, b), a < b: pairs of ``vertices`` within h hops over all edges, by h rounds from each."""
     reached = msbfs_levels(edges, vertices, h).where("d > 0 and src < v")
@@ -163,28 +185,43 @@ def distance_sums(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def closeness_bits(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The same for symmetric edges, 64 sources to a word.
 
-    A vertex is at distance d from as many sources as it reaches at d, so bit counts by vertex do.
+    A vertex is at distance d from as many sources as it reaches at d, so bit counts by vertex do.  An
+    induced graph of up to ``local.LOCAL_EDGES`` edges is searched in tasks that hold it whole; a larger one
+    in rounds over the cluster, in waves of words so that the state stays below WAVE_ROWS.
     """
     members = stage(members.select("v").distinct(), "members")
     inner = stage(induced(edges, members), "induced")
+    n = members.count()
+    if local.fits(inner):
+        return _scores(local.closeness_sums(inner), members, n)
+    return _scores(closeness_rounds(inner), members, n)
+
+
+def closeness_rounds(inner: DataFrame, wave_rows: int = WAVE_ROWS) -> DataFrame:
+    """(v, reached, total) of the ends of symmetric edges, in rounds."""
     # isolated members reach nothing and stay out of the rounds
-    ends = inner.select(F.col("src").alias("v")).distinct()
-    frontier = seen = stage(source_bits(ends), "frontier")
-    sums = []
-    level = 0
-    while True:
-        level += 1
-        frontier = stage(expand_bits(inner, frontier, seen), "frontier")
-        if frontier.isEmpty():
-            break
-        count = F.sum(F.bit_count("bits")).cast("long")
-        sums.append(frontier.groupBy("v").agg(count.alias("reached"), (count * level).alias("total")))
-        seen = stage(merge_bits(seen, frontier), "seen")
-    if not sums:
-        none = members.where("false").select("v", F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("total"))
-        return _scores(none, members, members.count())
+    ends = stage(inner.select(F.col("src").alias("v")).distinct(), "ends")
+    bits = stage(source_bits(ends), "bits")
+    full = stage(bits.groupBy("batch").agg(F.bit_or("bits").alias("all")), "full")
+    waves = max(1, -(-full.count() * ends.count() // wave_rows))
+    sums = [ends.select("v", F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("total")).where("false")]
+    for wave in range(waves):
+        frontier = seen = bits.where(f"pmod(batch, {waves}) = {wave}")
+        done = None
+        level = 0
+        while True:
+            level += 1
+            frontier = stage(expand_bits(inner, frontier, seen, done), "frontier")
+            if frontier.isEmpty():
+                break
+            count = F.sum(F.bit_count("bits")).cast("long")
+            sums.append(stage(frontier.groupBy("v").agg(count.alias("reached"), (count * level).alias("total")), "sums"))
+            merged = stage(merge_bits(seen, frontier).join(full, "batch"), "seen")
+            # words that all their sources have reached take part no more, as long as they are known as such
+            more = merged.where(F.col("bits") == F.col("all")).select("batch", "v")
+            done = more if done is None else done.union(more)
+            seen = merged.where(F.col("bits") != F.col("all")).select("batch", "v", "bits")
     total = sums[0]
     for s in sums[1:]:
         total = total.union(s)
-    total = total.groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"))
-    return _scores(total, members, members.count())
+    return total.groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions.text import query_columns
+from orbweave.functions.text import generate_parameters, query_columns
 from orbweave.operators import relational as R
 from orbweave.operators import traverse as T
 from orbweave.operators.components import connected_components
 from orbweave.plans import graph_queries as Q
-from orbweave.sources.files import organisation_type, reverse, without_dangling
+from orbweave.sources.files import Policy, convert, organisation_type, read_edges, read_table, reverse, without_dangling, write_table
+from orbweave.session import shared_dir, stage
 from orbweave.sources.testbed import CHAT, PURCHASE, chat_graph, purchase_graph, with_clause
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,9 +84,89 @@ def _(g):
     return without_dangling(g.knows, g.person.where("id % 3 = 0"), g.person)
 
 
+def _folder(df: DataFrame, name: str) -> str:
+    return f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def _persons(g) -> DataFrame:
+    """Persons with all columns of their file; names have quotes and backslashes."""
+    text = [F.lit(x).alias(c) for c, x in (("lastName", '"q" \\x'), ("gender", "f"), ("locationIP", "1.2.3.4"), ("browserUsed", "b"))]
+    at = F.lit("2010-01-02T03:04:05").cast("timestamp").alias("creationDate")
+    return g.person.select("id", F.concat(F.lit("p "), "id").alias("firstName"), "birthday", at, *text)
+
+
+@_p("csv_vertices", "person", """SELECT id, birthday, 'p ' || id AS "firstName", '"q" \\x' AS "lastName" FROM person""")
+def _(g):
+    """Written as a catalogue file and read back by header names."""
+    path = _folder(g.person, "csv")
+    write_table(_persons(g), path, "person")
+    return read_table(g.person.sparkSession, path, "person", ["id", "birthday", "firstName", "lastName"])
+
+
+@_p("csv_edges", "interest person", "SELECT DISTINCT person AS src, tag AS dst FROM interest WHERE person IN (SELECT id FROM person WHERE id % 3 = 0)")
+def _(g):
+    """Each edge is in the file twice and collapses; edges from other persons dangle."""
+    path = _folder(g.interest, "csv")
+    edges = g.interest.select(F.col("person").alias("src"), F.col("tag").alias("dst"))
+    write_table(edges.union(edges), path, "person_hasInterest_tag")
+    ends = (g.person.where("id % 3 = 0"), g.tag)
+    return read_edges(g.person.sparkSession, path, "person_hasInterest_tag", drop_dangling=ends)
+
+
+@_p("csv_convert", "place", "SELECT id, name, upper(label[1]) || lower(label[2:]) AS label FROM place")
+def _(g):
+    """A raw file in Latin-1 with a header of its own becomes one of the catalogue."""
+    spark, raw, out = g.place.sparkSession, _folder(g.place, "raw"), _folder(g.place, "csv")
+    text = g.place.select("id", "name", F.lit("\u00fc").alias("url"), F.upper("label").alias("type"))
+    text.write.options(sep="|", quote="", escape="", header=True, encoding="ISO-8859-1").csv(f"{raw}/place.csv")
+    convert(spark, raw, out, ["place"], "ISO-8859-1")
+    return read_table(spark, out, "place").where(F.col("url") == "\u00fc").select("id", "name", "label")
+
+
+@_p("csv_policies", "person", "SELECT CASE WHEN id % 5 = 0 THEN 9223372036854775807 ELSE id END AS id, 'a|\"b' AS name, CAST(NULL AS VARCHAR) AS url FROM person")
+def _(g):
+    """Quoted fields, blanks, comment lines, a missing and a further column, and numbers out of range that are clamped."""
+    spark, path = g.person.sparkSession, _folder(g.person, "csv")
+    number = F.when(F.col("id") % 5 == 0, F.concat(F.lit("9"), F.lpad(F.col("id").cast("string"), 30, "0"))).otherwise(F.col("id").cast("string"))
+    line = F.concat(number, F.lit(' | "a|""b" |z'))
+    head = spark.createDataFrame([("id:ID(Tag)|name:STRING|more:STRING",)], "value string")
+    g.person.select(line.alias("value")).union(spark.createDataFrame([("# nothing",)], "value string")).repartition(3).write.text(f"{path}/rows")
+    # one file: the header stands first
+    whole = head.select("value", F.lit(0).alias("k")).union(spark.read.text(f"{path}/rows").select("value", F.lit(1).alias("k")))
+    whole.coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/tag.csv")
+    return read_table(spark, path, "tag", policy=Policy(quote='"', trim=True, comment="#", missing="null", overflow="clamp"))
+
+
+@_p("parameter_rows", "person place tag", "SELECT 1 AS query, 100 AS n, 100 AS fit UNION ALL SELECT 2, 100, 100 UNION ALL SELECT 3, 100, 100 UNION ALL SELECT 4, 100, 100")
+def _(g):
+    """A hundred generated rows of each query; ``fit`` counts those whose parameters are in range and exist."""
+    out = None
+    for q in (1, 2, 3, 4):
+        rows = generate_parameters(q, 100, g.person, g.place, g.tag)
+        x = F.split("line", r"\|")
+        ids = g.person.select(F.col("id").cast("string").alias("last")) if q == 1 else None
+        names = {2: g.person.select(F.col("birthday").cast("string").alias("last")), 3: g.place.select(F.col("name").alias("last")), 4: g.tag.select(F.col("name").alias("last"))}
+        low, high = (-1, 3) if q == 1 else (3, 7)
+        own = rows.select(F.when(F.lit(q == 1), x[1]).otherwise(F.element_at(x, -1)).alias("last"), F.when(F.lit(q == 1), F.element_at(x, -1)).otherwise(x[0]).cast("int").alias("k"))
+        known = (ids if q == 1 else names[q]).distinct()
+        fit = own.where(F.col("k").between(low, high)).join(known, "last", "left_semi").agg(F.count("*").alias("fit"))
+        one = rows.agg(F.count("*").alias("n")).crossJoin(fit).select(F.lit(q).alias("query"), "n", "fit")
+        out = one if out is None else out.union(one)
+    return out
+
+
 # filters
 
 
+@_p("saturated_words", "place", "+e AS (SELECT id AS src, CASE label WHEN 'Continent' THEN 1 WHEN 'Country' THEN 2 ELSE 3 END AS dst FROM place UNION ALL SELECT id, 10 + id % 2 FROM place), w AS (SELECT CAST(floor(src / 64) AS BIGINT) AS batch, dst AS v, bit_or(CASE WHEN src % 64 = 63 THEN CAST('-9223372036854775808' AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(least(src % 64, 62) AS INTEGER) END) AS bits FROM e GROUP BY 1, 2) SELECT batch, CAST(v AS BIGINT) AS v FROM w WHERE bits = (SELECT bit_or(bits) FROM w x WHERE x.batch = w.batch)")
+def _(g):
+    kind = F.when(F.col("label") == "Continent", 1).when(F.col("label") == "Country", 2).otherwise(3).cast("long")
+    edges = g.place.select(F.col("id").alias("src"), kind.alias("dst")).union(g.place.select("id", 10 + F.col("id") % 2))
+    seed = T.source_bits(_set(g.place, "id"))
+    # a source isn't among the targets, so nothing is seen before
+    return R.saturated(R.expand_bits(edges, seed, seed.where("false")))
+
+
 @_p("birthday_filter", "person", f"SELECT id FROM person WHERE birthday >= DATE '{DATE}'")
 def _(g):
     return g.person.where(F.col("birthday") >= F.lit(DATE).cast("date")).select("id")
@@ -261,6 +343,12 @@ def _(g):
     return R.overlay(near, g.reply, g.comment, 0).join(replied, "src", "left_semi").select("src", "dst")
 
 
+@_c("frontier_overlay_counts", "reply comment knows", f"+{_COUNTS} SELECT a.src AS src, a.dst AS dst FROM reply_n a JOIN reply_n b ON a.src = b.dst AND a.dst = b.src SEMI JOIN knows k ON k.src = a.src AND k.dst = a.dst WHERE a.n > 0 AND b.n > 0 AND a.src IN (SELECT creator FROM comment JOIN reply ON id = child)")
+def _(g):
+    replied = g.comment.join(g.reply.select(F.col("child").alias("id")), "id", "left_semi").select(F.col("creator").alias("v")).distinct()
+    return R.overlay_from(replied, g.knows, g.reply, g.comment, 0)
+
+
 @_p("optional_count_distinct", "person knows interest", "SELECT id, count(DISTINCT interest.tag) AS n FROM person LEFT JOIN knows ON src = id LEFT JOIN interest ON interest.person = dst GROUP BY id")
 def _(g):
     tags = g.interest.select(F.col("person").alias("dst"), "tag")
@@ -481,6 +569,14 @@ def _(g):
     return T.closeness_bits(g.knows, Q.tag_members(g, TAG))
 
 
+@_p("closeness_waves", "knows forum_tag forum_member tag", _CLOSE.format(t=TAG, cap=30) + " SELECT v, reached, total, score FROM closeness", True)
+def _(g):
+    """By rounds over the cluster, in waves of a few words."""
+    members = _staged(Q.tag_members(g, TAG))
+    n = members.count()
+    return T._scores(T.closeness_rounds(_staged(R.induced(g.knows, members)), max(1, n * n // 128)), members, n)
+
+
 _OVER = _COUNTS + ", over AS (SELECT a.src AS src, a.dst AS dst FROM reply_n a JOIN reply_n b ON a.src = b.dst AND a.dst = b.src SEMI JOIN knows k ON k.src = a.src AND k.dst = a.dst WHERE a.n > {x} AND b.n > {x})"
 
 
@@ -498,7 +594,7 @@ def _q1(name: str, a: int, b: int, x: int) -> None:
         sql = _BFS.format(s=a, e="knows", cap=20)
     else:
         sql = "+" + _OVER.format(x=x) + ", " + _BFS.format(s=a, e="over", cap=20)[1:]
-    _c(name, "reply comment knows", sql + tail, True)(lambda g: Q.query1(g, a, b, x))
+    _c(name, "reply comment knows", sql + tail, True)(lambda g: (Q.query1_on_the_fly if "on_the_fly" in name else Q.query1)(g, a, b, x))
 
 
 _q1("q1_plain", 0, 14, -1)
@@ -506,6 +602,8 @@ _q1("q1_x0", 0, 14, 0)
 _q1("q1_x2", 0, 9, 2)
 _q1("q1_same_person", 3, 3, 3)
 _q1("q1_unreachable", 0, 14, 50)
+_q1("q1_on_the_fly", 0, 14, 0)
+_q1("q1_on_the_fly_x2", 0, 9, 2)
 
 _Q2 = (
     "+mem AS MATERIALIZED (SELECT tag, person FROM interest JOIN person p ON p.id = interest.person WHERE p.birthday >= DATE '{d}'), "
@@ -531,7 +629,7 @@ _Q3 = " SELECT pairs.a AS a, pairs.b AS b, coalesce(x.n, 0) AS score FROM pairs
 
 def _q3(name: str, k: int, h: int, place: str) -> None:
     sql = "+" + _PERSONS.format(p=place) + _WITHIN.format(h=h) + _Q3.format(k=k)
-    _p(name, f"{_TIES} knows interest", sql, True)(lambda g: Q.query3(g, k, h, place))
+    _p(name, f"{_TIES} knows interest", sql, True)(lambda g: (Q.query3_pruned if "pruned" in name else Q.query3)(g, k, h, place))
 
 
 _q3("q3_continent", 3, 3, "EUROPE")
@@ -539,6 +637,8 @@ _q3("q3_country", 3, 3, "NATION_7")
 _q3("q3_city", 5, 2, "NATION_7_AUTOMOBILE")
 _q3("q3_zero_fill", 50, 2, "NATION_3")
 _q3("q3_empty", 3, 0, "NATION_3")
+_q3("q3_pruned", 3, 3, "NATION_7")
+_q3("q3_pruned_zero_fill", 50, 2, "NATION_3")
 
 
 @_p("q4", "knows forum_tag forum_member tag", _CLOSE.format(t=TAG, cap=30) + " SELECT v AS person, score FROM closeness ORDER BY score DESC, person LIMIT 5", True)
@@ -560,8 +660,6 @@ def _(g):
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    from orbweave.session import stage
-
     return stage(df, "edges")
 
 
