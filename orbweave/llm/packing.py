@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,28 +14,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.token_counts import UNSAFE, special_splitter, tokenizer
+from orbweave.llm.textbytes import tidied
 from orbweave.session import stage
 
 LENGTH = 2048
 END_ID = 1
-#: Distinct words whose ids a worker keeps; beyond that it starts anew (a cache only, results don't depend on it).
-CACHE_WORDS = 1_000_000
+#: Bytes of words and ids that a worker keeps, about (a cache only, results don't depend on it).
+CACHE_BYTES = 48 << 20
+#: Marks of words seen once, a byte each.
+DOORS = 1 << 20
 #: Fixed value: the split pattern of the vocabulary for lower-case texts of ASCII and Latin-1 letters.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
+#: Words that tell whether a vocabulary's model can be used alone.
+PROBES = ("'s", "'ll", "7", "a", "strength", "über", "çéñøÿ", "|", "--", "\"?!", "façade", "zzzqxj")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies (itself if printable, else one from 256 on)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _pieces_of(tokenize):
+    signs = _byte_signs()
+
+    def ids(word: str) -> list[int]:
+        raw = word if word.isascii() else "".join(map(signs.__getitem__, word.encode()))
+        return [x.id for x in tokenize(raw)]
+
+    return ids
+
+
 class _WordIds(dict):
-    """word -> its ids as little-endian uint32 bytes, encoded on first use."""
+    """word -> its ids as little-endian uint32 bytes, encoded on first use.
+
+    There are two generations of half the size; words used again move to the young one, the others go with the old one.
+    Most distinct words are rare, so a word is kept from its second time on, as far as DOORS tells.
+    """
 
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.held, self.old = 0, {}
+        self.door, self.opened = bytearray(DOORS), 0
+        whole, pieces = lambda w: tok.encode(w, add_special_tokens=False).ids, _pieces_of(tok.model.tokenize)
+        # the model alone, without the library's splitter, is twice as fast where it gives the same
+        self.ids = pieces if all(pieces(w) == whole(w) for w in PROBES) else whole
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+        found = self.old.get(word)
+        if found is None:
+            ids = self.ids(word)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            at = hash(word) % DOORS
+            if not self.door[at]:
+                self.door[at] = 1
+                self.opened += 1
+                if self.opened * 2 > DOORS:
+                    self.door, self.opened = bytearray(DOORS), 0
+                return found
+        self.held += len(found) + len(word) + 170
+        if self.held > CACHE_BYTES // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[word] = found
         return found
@@ -172,7 +217,7 @@ def pack(
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECE + (", ids array<int>" if keep_ids else "")
-    pieces = stage(rows.mapInArrow(_pieces(path, length, end_id, keep_ids), schema), "pieces")
+    pieces = stage(rows.mapInArrow(tidied(_pieces(path, length, end_id, keep_ids)), schema), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     keys, table = _assign(pack_histogram(counts, length))
@@ -196,4 +241,4 @@ def pack(
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     out += (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, (F.col("base") + F.col("nth")).alias("rank")).mapInArrow(place, out)
+    return ranked.select(*names, (F.col("base") + F.col("nth")).alias("rank")).mapInArrow(tidied(place), out)
