@@ -27,6 +27,8 @@ SKETCH_BITS = 20
 FREQUENT = 3
 #: Runs of more documents go by shared columns instead of pairs.
 SHORT_RUN = 16
+#: Parts in which the members of a long run are joined with its head.
+RUN_SALTS = 16
 #: Shingles that one task of the second product holds for each of its two blocks.
 BLOCK_SHINGLES = 4_000_000
 
@@ -140,7 +142,7 @@ PAIRS = "a long, b long, na long, nb long, c long, run long"
 
 
 def _pairs(percent: int):
-    """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run: its least document)."""
+    """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run)."""
 
     def run(table: pa.Table) -> pa.Table:
         flat = lambda name, kind: np.concatenate(
@@ -184,7 +186,7 @@ def _pairs(percent: int):
                 "na": cat(na[new], pa.array(size[at], pa.int64())),
                 "nb": cat(nb[new], null(k)),
                 "c": cat(c.astype(np.int64), null(k)),
-                "run": pa.concat_arrays([null(len(new)), pa.array(np.repeat(doc[start[long]], count[long]), pa.int64())]),
+                "run": pa.concat_arrays([null(len(new)), pa.array(key[at].view(np.int64), pa.int64())]),
             }
         )
 
@@ -339,8 +341,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .where(F.col("c") >= need - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    # every run was whole in its task, so its members come with its least document: nothing is dealt out by run
-    by_run = long.join(hot.select("d"), "d", "left_semi").where("run <> d").select(F.col("run").alias("u"), F.col("d").alias("v")).distinct()
+    members = long.join(hot.select("d"), "d", "left_semi").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(RUN_SALTS)))
+    heads = members.groupBy("run").agg(F.min("d").alias("u"))
+    # a run that a third of all documents share is joined in RUN_SALTS parts
+    salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUN_SALTS - 1).cast("long"))))
+    by_run = members.join(salted, ["run", "salt"]).where("u <> d").select("u", F.col("d").alias("v")).distinct()
     clusters = stage(
         connected_components(pairs.union(by_run)).select(F.col("v").alias("doc_id"), F.col("component").alias("cluster")),
         "clusters",
