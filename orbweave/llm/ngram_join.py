@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.textbytes import shingle_sets, tidied, tidy
@@ -23,8 +23,12 @@ from orbweave.session import release, shuffle_partitions, stage
 WIDTH, PERCENT = 4, 85
 #: Slots of the sketch of frequent n-grams: a fixed size, so that it may be broadcast.
 SKETCH_BITS = 20
+#: Bits of the filter of clustered documents, which spares the others the second product's shuffle.
+KEPT_BITS = 25
 #: An n-gram in at least so many documents of one pass counts as frequent in it.
 FREQUENT = 3
+#: Slots of the table of n-grams with long runs: a fixed size, as it is broadcast.
+RUN_BITS = 24
 #: Runs of more documents go by shared columns instead of pairs.
 SHORT_RUN = 16
 #: Parts in which the members of a long run are joined with its head.
@@ -43,12 +47,18 @@ def common(n):
     return np.maximum(1, n // 20)
 
 
+def digest(s: np.ndarray) -> int:
+    """The name of a set of shingles: 64 bits, equal for equal sets."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _shapes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, slots, counts = [], [], []
+            sizes, names, slots, counts = [], [], [], []
             for _, sets in shingle_sets(batch, width):
                 sizes += [len(s) for s in sets]
+                names += [digest(s) for s in sets]
                 if sets:
                     u, c = np.unique(np.concatenate(sets), return_counts=True)
                     often = c >= FREQUENT
@@ -62,6 +72,7 @@ def _shapes(width: int):
                 {
                     "doc_ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                    "names": pa.array([names], pa.list_(pa.int64())),
                     "slots": pa.array([u], pa.list_(pa.int32())),
                     "counts": pa.array([total], pa.list_(pa.int64())),
                 }
@@ -80,41 +91,44 @@ def _sketch(shapes: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(weights, width: int, percent: int, n_buckets: int):
+def _run_table(runs: DataFrame) -> np.ndarray:
+    """Weights 0 to 31 by n-gram: the bit length of its run, 0 for short ones (of those that share a slot, the most)."""
+    rows = runs.groupBy("slot").agg(F.max("n").alias("n")).toPandas()
+    out = np.zeros(1 << RUN_BITS, np.uint8)
+    if len(rows):
+        out[rows["slot"].to_numpy()] = np.minimum(31, np.floor(np.log2(rows["n"].to_numpy(float))) + 1).astype(np.uint8)
+    return out
+
+
+def _postings(weights, table, width: int, percent: int, n_buckets: int):
+    """Prefixes of sets under one order of n-grams: those of short runs first, by the sketch, then by length of run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w, runs = weights.value, table and table.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            first: dict[bytes, int] = {}
-            copies, keys, docs, sizes = [], [], [], []
-            held: dict[bytes, list] = {}
-            for at, sets in shingle_sets(batch, width):
-                for i, s in enumerate(sets, at):
-                    if not len(s):
-                        continue
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if d in first:
-                        if ids[i] < ids[first[d]]:
-                            first[d] = i
-                        held[d].append(i)
+            first: set[int] = set()
+            keys, docs, sizes = [], [], []
+            for _, sets in shingle_sets(batch, width):
+                for s in sets:
+                    if not len(s) or (d := digest(s)) in first:
                         continue
-                    first[d], held[d] = i, [i]
+                    first.add(d)
                     n = len(s)
                     take = n - required(n, percent) + int(common(n))
-                    key = (w[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (
-                        (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(6)
-                    )
+                    weight = w[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    low = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(6)
+                    if runs is not None:
+                        long = runs[(low >> np.uint64(58 - RUN_BITS)).astype(np.int64)]
+                        weight = np.where(long > 0, long + np.uint8(32), weight)
+                    key = (weight.astype(np.uint64) << np.uint64(58)) | low
                     keys.append(np.partition(key, take - 1)[:take] if take < n else key)
                     docs.append((d, min(take, n)))
                     sizes.append(n)
-            for d, members in held.items():
-                copies += [(int(ids[i]), int(ids[first[d]])) for i in members if ids[i] != ids[first[d]]]
             out = []
             if keys:
                 flat = np.concatenate(keys)
-                reps = np.array([ids[first[d]] for d, _ in docs], np.int64)
                 lens = np.array([k for _, k in docs])
-                doc, size = np.repeat(reps, lens), np.repeat(np.array(sizes, np.int64), lens)
+                doc, size = np.repeat(np.array([d for d, _ in docs], np.int64), lens), np.repeat(np.array(sizes, np.int64), lens)
                 bucket = ((flat & np.uint64((1 << 58) - 1)) % np.uint64(n_buckets)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
                 flat, doc, size = flat[o], doc[o], size[o]
@@ -124,9 +138,6 @@ def _postings(weights, width: int, percent: int, n_buckets: int):
                     for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                     if y > x
                 ]
-            if copies:
-                c = np.array(copies, np.int64)
-                out.append((-1 - int(c[0, 0] % n_buckets), b"", c.tobytes(), b""))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in out], pa.int32()),
@@ -138,6 +149,26 @@ def _postings(weights, width: int, percent: int, n_buckets: int):
     return run
 
 
+POSTINGS = "bucket int, keys binary, docs binary, sizes binary"
+
+
+def _flat(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)] or [np.zeros(0, kind)])
+
+
+def _long_runs(table: pa.Table) -> pa.Table:
+    """(slot, n): n-grams in the prefixes of more than SHORT_RUN different sets, by their place in the table."""
+    key, doc = _flat(table, "keys", np.uint64), _flat(table, "docs", np.int64)
+    o = np.lexsort((doc, key))
+    key, doc = key[o], doc[o]
+    key = key[np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]] if len(key) else key
+    u, n = np.unique(key, return_counts=True)
+    u, n = u[n > SHORT_RUN], n[n > SHORT_RUN]
+    tidy()
+    slot = (u & np.uint64((1 << 58) - 1)) >> np.uint64(58 - RUN_BITS)
+    return pa.table({"slot": pa.array(slot.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+
 PAIRS = "a long, b long, na long, nb long, c long, run long"
 
 
@@ -145,10 +176,7 @@ def _pairs(percent: int):
     """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run)."""
 
     def run(table: pa.Table) -> pa.Table:
-        flat = lambda name, kind: np.concatenate(
-            [np.frombuffer(x.as_py(), kind) for x in table.column(name)] or [np.zeros(0, kind)]
-        )
-        key, doc, size = flat("keys", np.uint64), flat("docs", np.int64), flat("sizes", "<u4").astype(np.int64)
+        key, doc, size = _flat(table, "keys", np.uint64), _flat(table, "docs", np.int64), _flat(table, "sizes", "<u4").astype(np.int64)
         o = np.lexsort((doc, key))
         key, doc, size = key[o], doc[o], size[o]
         same = np.r_[False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])]
@@ -193,29 +221,6 @@ def _pairs(percent: int):
     return run
 
 
-def _first_product(percent: int):
-    pairs = _pairs(percent)
-
-    def run(table: pa.Table) -> pa.Table:
-        if table.num_rows and table.column("bucket")[0].as_py() < 0:
-            links = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in table.column("docs")])
-            n = len(links)
-            null = pa.nulls(n, pa.int64())
-            return pa.table(
-                {
-                    "a": pa.array(links[:, 0], pa.int64()),
-                    "b": pa.array(links[:, 1], pa.int64()),
-                    "na": null,
-                    "nb": null,
-                    "c": pa.array(np.full(n, -1), pa.int64()),
-                    "run": null,
-                }
-            )
-        return pairs(table)
-
-    return run
-
-
 def linked_labels(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     """The smallest id that each set reaches by links, from rows of the incidence product.
 
@@ -268,7 +273,7 @@ def linked_labels(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
 def _second_product(percent: int):
     def run(table: pa.Table) -> pa.Table:
         cluster = table.column("cluster").to_numpy()
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("name").to_numpy()
         blobs = table.column("grams")
         o = np.argsort(cluster, kind="stable")
         cut = np.flatnonzero(np.r_[True, cluster[o][1:] != cluster[o][:-1]]) if len(o) else np.zeros(0, np.int64)
@@ -278,20 +283,35 @@ def _second_product(percent: int):
             sets = [np.frombuffer(blobs[int(i)].as_py(), np.uint64) for i in own]
             labels[own] = linked_labels(ids[own], sets, percent)
         tidy()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64())})
+        return pa.table({"name": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64())})
 
     return run
 
 
-def _grams(width: int):
+def _kept(reps: DataFrame) -> np.ndarray:
+    """A filter that lets all ``reps(rep)`` pass, and few others."""
+    slots = reps.select(F.expr(f"cast((rep ^ shiftright(rep, {KEPT_BITS})) & {(1 << KEPT_BITS) - 1}L as int)").alias("slot"))
+    out = np.zeros(1 << KEPT_BITS, bool)
+    out[slots.distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _grams(kept, width: int):
+    """(doc_id, name, grams) of the rows that pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = kept.value
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            slot = (ids ^ (ids >> KEPT_BITS)) & ((1 << KEPT_BITS) - 1)
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            names: list[int] = []
             blobs: list[bytes] = []
             for _, sets in shingle_sets(batch, width):
+                names += [digest(s) for s in sets]
                 blobs += [s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("cluster"), batch.column("blocks"), pa.array(blobs, pa.binary())],
-                names=["doc_id", "cluster", "blocks", "grams"],
+                [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "name", "grams"]
             )
 
     return run
@@ -316,23 +336,32 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = max(8, 2 * shuffle_partitions(spark))
     shapes = stage(
-        text.mapInArrow(tidied(_shapes(width)), "doc_ids array<long>, sizes array<long>, slots array<int>, counts array<long>"),
+        text.mapInArrow(
+            tidied(_shapes(width)), "doc_ids array<long>, sizes array<long>, names array<long>, slots array<int>, counts array<long>"
+        ),
         "shapes",
     )
+    flat = shapes.select(F.explode(F.arrays_zip("doc_ids", "sizes", "names")).alias("x")).select(
+        F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.names").alias("name")
+    )
+    named = flat.where("doc_id is not null and n_shingles > 0")
+    # equal sets are one from here on, under their name
+    reps = stage(named.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "reps")
     weights = spark.sparkContext.broadcast(_sketch(shapes))
     known = text.where("doc_id is not null")
-    postings = known.mapInArrow(
-        tidied(_postings(weights, width, percent, n_buckets)), "bucket int, keys binary, docs binary, sizes binary"
-    )
-    dealt = postings.groupBy("bucket").applyInArrow(_first_product(percent), PAIRS)
-    counted = stage(dealt, "counted")
+    posted = lambda table: known.mapInArrow(tidied(_postings(weights, table, width, percent, n_buckets)), POSTINGS).groupBy("bucket")
+    runs = stage(posted(None).applyInArrow(_long_runs, "slot int, n long"), "runs")
+    release(spark)
+    table = spark.sparkContext.broadcast(_run_table(runs))
+    counted = stage(posted(table).applyInArrow(_pairs(percent), PAIRS), "counted")
     weights.unpersist()
+    table.unpersist()
     release(spark)
-    copies = counted.where("c = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("rep")).distinct()
     long = counted.where("run is not null").select(F.col("a").alias("d"), "na", "run")
     in_long = stage(long.groupBy("d", "na").agg(F.count("*").alias("h")), "in-long")
     share = lambda n: F.greatest(F.lit(1), F.floor(n / 20))
-    hot = stage(in_long.where(F.col("h") >= F.greatest(F.lit(1), F.floor(share(F.col("na")) * percent / 100) - 1)), "hot")
+    enough = F.greatest(F.lit(1), F.floor(share(F.col("na")) * percent / 100) - 1)
+    hot = stage(in_long.where(F.col("h") >= enough), "hot")
     pairs = counted.where("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     need = F.least(share(F.col("na")), share(F.col("nb")))
     pairs = (
@@ -341,56 +370,50 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .where(F.col("c") >= need - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    members = long.join(hot.select("d"), "d", "left_semi").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(RUN_SALTS)))
+    members = stage(long.join(hot.select("d"), "d", "left_semi"), "members")
+    # two sets that share ``enough`` runs share one even if each leaves out its ``enough`` - 1 longest
+    longest = Window.partitionBy("d").orderBy(F.desc("k"), "run")
+    ranked = members.join(members.groupBy("run").agg(F.count("*").alias("k")), "run").withColumn("place", F.row_number().over(longest))
+    members = ranked.where(F.col("place") >= enough).select("d", "run").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(RUN_SALTS)))
     heads = members.groupBy("run").agg(F.min("d").alias("u"))
     # a run that a third of all documents share is joined in RUN_SALTS parts
     salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUN_SALTS - 1).cast("long"))))
     by_run = members.join(salted, ["run", "salt"]).where("u <> d").select("u", F.col("d").alias("v")).distinct()
     clusters = stage(
-        connected_components(pairs.union(by_run)).select(F.col("v").alias("doc_id"), F.col("component").alias("cluster")),
+        connected_components(pairs.union(by_run)).select(F.col("v").alias("name"), F.col("component").alias("cluster")),
         "clusters",
     )
-    sized = clusters.join(
-        shapes.select(F.explode(F.arrays_zip("doc_ids", "sizes")).alias("x")).select(
-            F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n")
-        ),
-        "doc_id",
-    )
+    sized = stage(clusters.join(reps, "name"), "sized")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster")
-    rows = known.join(placed, "doc_id").select("doc_id", "text", "cluster", "blocks")
-    grams = rows.mapInArrow(tidied(_grams(width)), "doc_id long, cluster long, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = sized.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "name", "cluster", "blocks")
+    kept = spark.sparkContext.broadcast(_kept(sized))
+    # by name too: rows that share a doc_id may differ
+    grams = known.mapInArrow(tidied(_grams(kept, width)), "doc_id long, name long, grams binary").join(placed, ["doc_id", "name"])
+    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     tiles = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).otherwise(
         F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-    tiled = grams.select("doc_id", "cluster", "grams", "blocks", F.explode(tiles).alias("tile"))
+    tiled = grams.select("name", "cluster", "grams", "blocks", F.explode(tiles).alias("tile"))
     # clusters of one block share tasks; each pair of blocks of a larger one is a task of its own
     group = F.when(F.col("blocks") > 1, F.xxhash64("cluster", "tile")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(4 * n_buckets)))
     labels = (
-        tiled.select("doc_id", "cluster", "grams", group.alias("group"))
+        tiled.select("name", "cluster", "grams", group.alias("group"))
         .groupBy("group")
-        .applyInArrow(_second_product(percent), "doc_id long, label long")
+        .applyInArrow(_second_product(percent), "name long, label long")
     )
     labels = stage(labels, "labels")
-    once = labels.groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     if blocks.where("blocks > 1").isEmpty():
-        final = once.select("doc_id", F.col("lo").alias("label"))
+        final = labels.groupBy("name").agg(F.min("label").alias("label"))
     else:
-        final = connected_components(labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))).select(
-            F.col("v").alias("doc_id"), F.col("component").alias("label")
+        final = connected_components(labels.select(F.col("name").alias("u"), F.col("label").alias("v"))).select(
+            F.col("v").alias("name"), F.col("component").alias("label")
         )
-    final = stage(final, "final")
-    by_copy = (
-        copies.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .select("doc_id", F.coalesce("label", "rep").alias("label"))
-        .union(final)
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"))
-    )
-    flat = shapes.select(F.explode(F.arrays_zip("doc_ids", "sizes")).alias("x")).select(
-        F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles")
+    final = stage(final.join(reps, "name").select("name", "label", "rep"), "final")
+    least = final.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = reps.join(final.select("name", "label").join(least, "label"), "name", "left").select(
+        "name", F.coalesce("component_id", "rep").alias("component_id")
     )
-    return flat.join(by_copy, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
+    by_doc = named.join(linked, "name").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return flat.join(by_doc, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -291,6 +291,20 @@ def test_ngram_join(docs, empty, rows, run, block, monkeypatch):
         assert ngram_join.link_components(empty).count() == 0
 
 
+def test_ngram_join_common_ngrams_cluster_nothing(spark, monkeypatch):
+    """Phrases in many unrelated documents, few in each pass, go last in prefixes; exact copies are one set."""
+    phrases = [" ".join(f"common{i}{k}" for k in "abcd") for i in range(8)]
+    own = [(i, " ".join(f"{p} own{i}x{j} own{i}y{j}" for j, p in enumerate(phrases))) for i in range(60)]
+    rows = own + [(100 + i, own[0][1].upper()) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(100)
+    seen = {}
+    keep = lambda df, name, f=ngram_join.stage: seen.setdefault(name, f(df, name))
+    monkeypatch.setattr(ngram_join, "stage", keep)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs).collect()}
+    assert got == {i: 0 if i >= 100 else i for i, _ in rows}
+    assert seen["clusters"].count() == 0
+
+
 def test_linked_labels_equal_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 40, 400).astype(np.uint64)
