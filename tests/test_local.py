@@ -70,3 +70,33 @@ def test_queries_give_the_same_beyond_the_limit(spark, edges, monkeypatch):
     small = ask()
     monkeypatch.setattr(local, "LOCAL_EDGES", 10)
     assert ask() == small and small[2] == small[3]
+
+
+def test_searches_by_component(spark, edges, monkeypatch):
+    """Many components, directed edges, vertices without edges, several blocks; the same rows by rounds."""
+    monkeypatch.setattr(local, "UNPACKED_ROWS", 7)
+    one_way = edges.where("src < dst or src % 3 = 0")
+    v = spark.range(0, 3000, 5).select(F.col("id").alias("v"))
+    some = v.where("v % 7 = 0")
+    for e, sources in ((edges, some), (one_way, v), (edges.where("false"), some)):
+        want = rows(traverse.msbfs_levels(e, sources))
+        assert traverse.all_levels(e, sources).count() == len(want)
+        assert rows(traverse.all_levels(e, sources)) == want
+        sums = {}
+        for src, _, d in want:
+            a, n = sums.get(src, (0, 0))
+            sums[src] = (a + d, n + 1)
+        sums = {(s, *x) for s, x in sums.items()}
+        assert rows(traverse.distance_sums_from(e, sources)) == sums
+        assert rows(traverse.all_distance_sums(e, v)) == {tuple(r) for r in traverse.distance_sums(e, v).collect()}
+
+
+def test_searches_take_components_apart():
+    """A search doesn't hold the state of components that its sources lie outside of."""
+    import numpy as np
+
+    src = np.array([0, 1, 10, 11, 5, 6])
+    dst = np.array([1, 0, 11, 10, 6, 5])
+    parts = local.Parts(src, dst)
+    graph, lo = parts.around(parts.places(np.array([5, 6])))
+    assert graph.ids.tolist() == [5, 6] and lo == 2 and graph.targets.tolist() == [1, 0]
