@@ -100,3 +100,12 @@ def test_searches_take_components_apart():
     parts = local.Parts(src, dst)
     graph, lo = parts.around(parts.places(np.array([5, 6])))
     assert graph.ids.tolist() == [5, 6] and lo == 2 and graph.targets.tolist() == [1, 0]
+
+
+def test_closeness_beyond_thirty_hops(spark):
+    """The catalogue's SQL stops at 30 hops; the operators don't."""
+    path = [(i, i + 1) for i in range(40)]
+    e = spark.createDataFrame([*path, *((b, a) for a, b in path)], "src long, dst long")
+    members = spark.range(41).select(F.col("id").alias("v"))
+    want = {v: (40, sum(abs(v - w) for w in range(41))) for v in range(41)}
+    assert {r.v: (r.reached, r.total) for r in traverse.closeness_bits(e, members).collect()} == want
