@@ -110,3 +110,21 @@ def test_closeness_beyond_thirty_hops(spark):
     members = spark.range(41).select(F.col("id").alias("v"))
     want = {v: (40, sum(abs(v - w) for w in range(41))) for v in range(41)}
     assert {r.v: (r.reached, r.total) for r in traverse.closeness_bits(e, members).collect()} == want
+
+
+def test_closeness_forms_and_query4_beyond_thirty_hops(spark):
+    """The plain, the waves' and the ranked form go as far as paths do, too."""
+    path = [(i, i + 1) for i in range(33)]
+    e = spark.createDataFrame([*path, *((b, a) for a, b in path)], "src long, dst long").coalesce(2).cache()
+    members = spark.range(34).select(F.col("id").alias("v"))
+    total = {v: sum(abs(v - w) for w in range(34)) for v in range(34)}
+    assert {(r.v, r.reached, r.total) for r in traverse.closeness(e, members).collect()} == {(v, 33, t) for v, t in total.items()}
+    assert {tuple(r) for r in traverse.closeness_rounds(e).collect()} == {(v, 33, t) for v, t in total.items()}
+    tables = {
+        "knows": e, "tag": spark.createDataFrame([(0, "a")], "id long, name string"),
+        "forum_tag": spark.createDataFrame([(7, 0)], "forum long, tag long"),
+        "forum_member": members.select(F.lit(7).cast("long").alias("forum"), F.col("v").alias("person")),
+    }
+    best = sorted(((33 * 33 / (33 * t), -v) for v, t in total.items()), reverse=True)
+    # the ends as well: their farthest vertices are 33 hops away
+    assert [tuple(r) for r in Q.query4(Q.Graph(tables), 34, "a").collect()] == [(-v, s) for s, v in best]
