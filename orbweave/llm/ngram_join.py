@@ -33,6 +33,8 @@ RUN_BITS = 24
 SHORT_RUN = 16
 #: Parts in which the members of a long run are joined with its head.
 RUN_SALTS = 16
+#: Clustered sets up to which a table of 20 bytes each tells where n-grams go, so that they are shuffled once.
+PLACED_SETS = 4_000_000
 #: Shingles that one task of the second product holds for each of its two blocks.
 BLOCK_SHINGLES = 4_000_000
 
@@ -101,7 +103,11 @@ def _run_table(runs: DataFrame) -> np.ndarray:
 
 
 def _postings(weights, table, width: int, percent: int, n_buckets: int):
-    """Prefixes of sets under one order of n-grams: those of short runs first, by the sketch, then by length of run."""
+    """Prefixes of sets under one order of n-grams: those of short runs first, by the sketch, then by length of run.
+
+    Without ``table`` runs are only to be counted: 4 bytes of n-gram and set each.  With it, 6 bytes of the
+    n-gram, the set's name, and its size in as few bytes as do for all of a bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, runs = weights.value, table and table.value
@@ -129,12 +135,13 @@ def _postings(weights, table, width: int, percent: int, n_buckets: int):
                 flat = np.concatenate(keys)
                 lens = np.array([k for _, k in docs])
                 doc, size = np.repeat(np.array([d for d, _ in docs], np.int64), lens), np.repeat(np.array(sizes, np.int64), lens)
-                bucket = ((flat & np.uint64((1 << 58) - 1)) % np.uint64(n_buckets)).astype(np.int64)
+                flat &= np.uint64((1 << 58) - 1)
+                bucket = (flat % np.uint64(n_buckets)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
                 flat, doc, size = flat[o], doc[o], size[o]
                 cut = np.searchsorted(bucket[o], np.arange(n_buckets + 1))
                 out = [
-                    (b, flat[x:y].tobytes(), doc[x:y].tobytes(), size[x:y].astype("<u4").tobytes())
+                    (b, *(_counted(flat[x:y], doc[x:y]) if runs is None else _named(flat[x:y], doc[x:y], size[x:y])))
                     for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                     if y > x
                 ]
@@ -152,20 +159,45 @@ def _postings(weights, table, width: int, percent: int, n_buckets: int):
 POSTINGS = "bucket int, keys binary, docs binary, sizes binary"
 
 
+def _counted(low: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Postings that do for counting runs: the bucket and 32 bits tell n-grams apart."""
+    return (low >> np.uint64(26)).astype("<u4").tobytes(), doc.astype("<u4").tobytes(), b""
+
+
+def _named(low: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Postings for pairs: 48 bits of the n-gram (4 and 2 bytes in turn), which its bucket narrows further."""
+    key = low >> np.uint64(10)
+    keys = (key >> np.uint64(16)).astype("<u4").tobytes() + key.astype("<u2").tobytes()
+    return keys, doc.tobytes(), size.astype("<u2" if size.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _keys(table: pa.Table) -> np.ndarray:
+    out = [np.zeros(0, np.uint64)]
+    for x in table.column("keys"):
+        blob, n = x.as_py(), len(x.as_py()) // 6
+        out.append(np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(blob, "<u2", n, 4 * n))
+    return np.concatenate(out)
+
+
+def _sizes(table: pa.Table) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for x, docs in zip(table.column("sizes"), table.column("docs"), strict=True):
+        blob = x.as_py()
+        out.append(np.frombuffer(blob, f"<u{8 * len(blob) // len(docs.as_py())}").astype(np.int64))
+    return np.concatenate(out)
+
+
 def _flat(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)] or [np.zeros(0, kind)])
 
 
 def _long_runs(table: pa.Table) -> pa.Table:
     """(slot, n): n-grams in the prefixes of more than SHORT_RUN different sets, by their place in the table."""
-    key, doc = _flat(table, "keys", np.uint64), _flat(table, "docs", np.int64)
-    o = np.lexsort((doc, key))
-    key, doc = key[o], doc[o]
-    key = key[np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]] if len(key) else key
-    u, n = np.unique(key, return_counts=True)
+    both = np.unique(_flat(table, "keys", "<u4").astype(np.uint64) << np.uint64(32) | _flat(table, "docs", "<u4"))
+    u, n = np.unique(both >> np.uint64(32), return_counts=True)
     u, n = u[n > SHORT_RUN], n[n > SHORT_RUN]
     tidy()
-    slot = (u & np.uint64((1 << 58) - 1)) >> np.uint64(58 - RUN_BITS)
+    slot = u >> np.uint64(32 - RUN_BITS)
     return pa.table({"slot": pa.array(slot.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
 
 
@@ -176,7 +208,7 @@ def _pairs(percent: int):
     """Overlap counts of pairs in short runs (a, b, na, nb, c) and the members of long runs (a, na, run)."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, doc, size = _flat(table, "keys", np.uint64), _flat(table, "docs", np.int64), _flat(table, "sizes", "<u4").astype(np.int64)
+        key, doc, size = _keys(table), _flat(table, "docs", np.int64), _sizes(table)
         o = np.lexsort((doc, key))
         key, doc, size = key[o], doc[o], size[o]
         same = np.r_[False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])]
@@ -317,6 +349,40 @@ def _grams(kept, width: int):
     return run
 
 
+def _places(placed: DataFrame) -> tuple[np.ndarray, ...]:
+    """(doc_id, name, number of its cluster) by doc_id, and the blocks of each cluster by number."""
+    table = placed.toArrow()
+    ids, names, cluster, blocks = (table.column(c).to_numpy() for c in ("doc_id", "name", "cluster", "blocks"))
+    u, first, number = np.unique(cluster, return_index=True, return_inverse=True)
+    o = np.argsort(ids, kind="stable")
+    return ids[o], names[o], number[o].astype(np.int32), blocks[first].astype(np.int32)
+
+
+def _placed_grams(places, width: int):
+    """(name, cluster, blocks, grams) of the sets that have a place, from their own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, names, number, blocks = places.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            lo, hi = np.searchsorted(reps, ids), np.searchsorted(reps, ids, "right")
+            batch, ranges = batch.filter(pa.array(lo < hi)), np.stack([lo, hi], 1)[lo < hi].tolist()
+            at, blobs = [], []
+            for first, sets in shingle_sets(batch, width):
+                for s, (a, b) in zip(sets, ranges[first : first + len(sets)], strict=True):
+                    # rows that share a doc_id may differ
+                    own = a + np.flatnonzero(names[a:b] == digest(s))
+                    at += own.tolist()
+                    blobs += [s.tobytes()] * len(own)
+            at = np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[at]), pa.array(number[at].astype(np.int64)), pa.array(blocks[number[at]]), pa.array(blobs, pa.binary())],
+                names=["name", "cluster", "blocks", "grams"],
+            )
+
+    return run
+
+
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -386,9 +452,13 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sized = stage(clusters.join(reps, "name"), "sized")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = sized.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "name", "cluster", "blocks")
-    kept = spark.sparkContext.broadcast(_kept(sized))
-    # by name too: rows that share a doc_id may differ
-    grams = known.mapInArrow(tidied(_grams(kept, width)), "doc_id long, name long, grams binary").join(placed, ["doc_id", "name"])
+    if sized.count() <= PLACED_SETS:
+        places = spark.sparkContext.broadcast(_places(placed))
+        grams = known.mapInArrow(tidied(_placed_grams(places, width)), "name long, cluster long, blocks int, grams binary")
+    else:
+        kept = spark.sparkContext.broadcast(_kept(sized))
+        # by name too: rows that share a doc_id may differ
+        grams = known.mapInArrow(tidied(_grams(kept, width)), "doc_id long, name long, grams binary").join(placed, ["doc_id", "name"])
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     tiles = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).otherwise(

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -305,6 +306,42 @@ def test_ngram_join_common_ngrams_cluster_nothing(spark, monkeypatch):
     assert seen["clusters"].count() == 0
 
 
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_ngram_join_shuffles_grams_once(spark, docs, rows, most, monkeypatch):
+    """A table tells where the n-grams of clustered sets go; beyond its limit a join does, with the same rows."""
+    plans = {}
+
+    def note(df, name, f=ngram_join.stage):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return f(df, name)
+
+    monkeypatch.setattr(ngram_join, "PLACED_SETS", most)
+    monkeypatch.setattr(ngram_join, "stage", note)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    assert got == brute_join(rows)
+    assert ("Join" in plans["labels"]) == (most == 0)
+
+
+def test_ngram_join_postings_are_small():
+    """However few postings a set has in a bucket: 8 bytes for counting runs, 16 for pairs, and they are read back whole."""
+    from types import SimpleNamespace
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(200 + i)) for i in range(20)]
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    weights = SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    table = SimpleNamespace(value=np.zeros(1 << ngram_join.RUN_BITS, np.uint8))
+    sizes = [197 + i for i in range(20)]
+    n = sum(k - ngram_join.required(k, 85) + int(ngram_join.common(k)) for k in sizes)
+    for runs, width in ((None, 8), (table, 16)):
+        out = pa.Table.from_batches(ngram_join._postings(weights, runs, 4, 85, 500)([batch]))
+        assert sum(len(x.as_py()) for c in ("keys", "docs", "sizes") for x in out.column(c)) == width * n
+    assert sorted(set(ngram_join._sizes(out).tolist())) == sizes and len(np.unique(ngram_join._keys(out))) == n
+    long = np.array([70_000, 3], np.int64)
+    blobs = ngram_join._named(np.array([5 << 10, (1 << 58) - 1], np.uint64), np.array([-1, 7], np.int64), long)
+    out = pa.table({c: pa.array([b], pa.binary()) for c, b in zip(("keys", "docs", "sizes"), blobs, strict=True)})
+    assert ngram_join._sizes(out).tolist() == long.tolist() and ngram_join._keys(out).tolist() == [5, (1 << 48) - 1]
+
+
 def test_linked_labels_equal_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 40, 400).astype(np.uint64)
