@@ -128,3 +128,53 @@ def test_closeness_forms_and_query4_beyond_thirty_hops(spark):
     best = sorted(((33 * 33 / (33 * t), -v) for v, t in total.items()), reverse=True)
     # the ends as well: their farthest vertices are 33 hops away
     assert [tuple(r) for r in Q.query4(Q.Graph(tables), 34, "a").collect()] == [(-v, s) for s, v in best]
+
+
+def test_rounds_take_what_the_last_one_reached(monkeypatch):
+    """On a path, a search from its end doesn't go over all that is still open in each round."""
+    import numpy as np
+
+    taken = []
+
+    class Counted(local.Adjacency):
+        def of(self, rows):
+            taken.append(len(rows))
+            return super().of(rows)
+
+    if pull := getattr(local, "_pull", None):
+        monkeypatch.setattr(local, "_pull", lambda graph, rows, now: taken.append(len(rows)) or pull(graph, rows, now))
+    a = np.arange(400)
+    graph = Counted(np.r_[a, a + 1], np.r_[a + 1, a])
+    total = np.zeros(401, np.int64)
+    for level, rows, new, _ in local._search(graph, np.array([0]), None):
+        total[rows] += level * np.bitwise_count(new).sum(1, dtype=np.int64)
+    assert total.tolist() == list(range(401))
+    assert sum(taken) < 5 * 401
+
+
+def test_words_and_parts_of_levels(monkeypatch):
+    """Three words of sources, a few rows at a time, both directions; the first round that all rows are near, too."""
+    import numpy as np
+
+    monkeypatch.setattr(local, "PULLED_ROWS", 7)
+    rng = np.random.default_rng(5)
+    for n, m in ((190, 700), (300, 320)):
+        src, dst = rng.integers(0, n, (2, m)) * 3
+        step = {}
+        for x, y in zip(src.tolist(), dst.tolist(), strict=True):
+            step.setdefault(x, set()).add(y)
+        parts = local.Parts(dst, src)
+        places = parts.places(np.unique(np.r_[src, dst]))[:150]
+        graph, lo = parts.around(places)
+        got = {}
+        for level, rows, new, _ in local._search(graph, places - lo, None):
+            v, k = np.nonzero(np.unpackbits(new.view(np.uint8), axis=1, bitorder="little"))
+            got |= {(int(parts.ids[places[j]]), int(graph.ids[rows[i]])): level for i, j in zip(v, k, strict=True)}
+        want = {}
+        for s in parts.ids[places].tolist():
+            near, seen, d = {s}, {s}, 0
+            while near := {y for x in near for y in step.get(x, ())} - seen:
+                d += 1
+                seen |= near
+                want |= {(s, y): d for y in near}
+        assert got == want and len(want) > 300
