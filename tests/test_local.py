@@ -178,3 +178,26 @@ def test_words_and_parts_of_levels(monkeypatch):
                 seen |= near
                 want |= {(s, y): d for y in near}
         assert got == want and len(want) > 300
+
+
+def test_levels_come_by_vertex(spark, monkeypatch):
+    """A block's rows of one vertex lie together, which halves the files; graphs beyond LEVEL_CELLS give the same rows."""
+    path = [(i, i + 1) for i in range(60)] + [(7, 100), (100, 101), (101, 7)]
+    e = spark.createDataFrame([*path, *((b, a) for a, b in path[:50])], "src long, dst long").coalesce(1)
+    v = e.selectExpr("src AS v").union(e.selectExpr("dst AS v")).distinct()
+    got = [tuple(r) for r in local.levels(e, v).coalesce(1).collect()]
+    runs = 1 + sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False))
+    assert runs == len({v for _, v, _ in got})
+    step = {}
+    for r in e.collect():
+        step.setdefault(r.src, set()).add(r.dst)
+    want = {}
+    for s in [*range(61), 100, 101]:
+        near, seen, d = {s}, {s}, 0
+        while near := {y for x in near for y in step.get(x, ())} - seen:
+            d += 1
+            seen |= near
+            want |= {(s, y): d for y in near}
+    assert {(a, b): d for a, b, d in got} == want and len(got) == len(want)
+    monkeypatch.setattr(local, "LEVEL_CELLS", 0)
+    assert sorted(tuple(r) for r in local.levels(e, v).collect()) == sorted(got)
